@@ -328,8 +328,7 @@ def p09(spark, d):
     return dates.withColumn("valid", Q.valid_date("number"))
 
 
-REGIONS_SQL = PREDS.replace("ret_1 AS pred FROM", "pred_a AS pred FROM").replace("preds AS (SELECT *, coalesce(-ret_1, 0) AS pred_a, coalesce(-ret_5, 0) AS pred_b, pred_a AS pred FROM features)",
-  "preds AS (SELECT *, coalesce(-ret_1, 0) AS pred_a FROM features)") + f""",
+REGIONS_SQL = PREDS + f""",
   known AS (SELECT ts_code, trade_date, y_ret_1d, pred_a FROM preds WHERE y_ret_1d IS NOT NULL),
   ranks AS (SELECT *, {S.pct('pred_a')} AS pred_rank, {S.pct('y_ret_1d')} AS label_rank FROM known),
   regions AS (SELECT *, 'full' AS region FROM ranks UNION ALL SELECT *, 'top20' FROM ranks WHERE pred_rank > 0.8

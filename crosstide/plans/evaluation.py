@@ -10,7 +10,6 @@ from crosstide.plans.registry import date_sizes, query, shown
 from crosstide.plans.runs import METRICS, OFFICIAL_HERE, PROVISIONAL_HERE, RUN
 from crosstide.schema import DATE, ENTITY, KEYS, LABEL
 
-IDENTITY = P.PREDS.replace("preds AS", "known AS", 1) + ", preds AS (SELECT * FROM known)"
 OFF = P.PREDS + P.scored_sql("preds")
 PROV = P.PREDS + P.scored_sql("preds", official=False, min_ic=2)
 LISTED = "model, fold, "
@@ -66,8 +65,8 @@ def e07(spark, d):
     return shown(E.daily_turnover(P.identity(spark, d), PROVISIONAL_HERE, sizes=date_sizes(spark, d)))
 
 
-@query("e08_final_score", P.PREDS.replace("coalesce(-ret_1, 0) AS pred_a", "coalesce(-ret_1, 0) AS pred_a, coalesce(ret_1, 0) AS filled", 1)
-       .replace("ret_1 AS pred FROM", "ret_1 AS raw FROM", 1) + ", ready AS (SELECT *, filled AS pred FROM preds)"
+@query("e08_final_score", P.PREDS
+       + ", ready AS (SELECT * REPLACE (coalesce(pred, 0) AS pred) FROM preds)"
        + P.scored_sql("ready") + P.summary_sql() + f" SELECT {S.rounded(*METRICS)} FROM scores")
 def e08(spark, d):
     df = P.identity(spark, d).withColumn("pred", F.coalesce("ret_1", F.lit(0.0)))

@@ -12,17 +12,19 @@ from crosstide.schema import DATE, KEYS, LABEL
 from crosstide.sources.panel import bars
 
 RUN = ["model", "fold"]
+# Each model predicts a reversal of one feature, and 0 where that is undefined.
+MODELS = {"a": "ret_1", "b": "ret_5", "c": "madev_5", "d": "volratio_5"}
 # The smallest panel holds about 20 tradable rows a date, below the usual thresholds of 30 and 100.
 OFFICIAL_HERE = OFFICIAL.adjusted(5, 10)
 PROVISIONAL_HERE = PROVISIONAL
 
 
 def predictions(spark, d, keep=()):
-    """Both models' predictions as columns."""
+    """Every model's prediction as a column: pred_a to pred_d."""
     panel = bars(spark, d, labelled=True)
-    df = history_features(panel, ["ret_1", "ret_5"], keep=[*KEYS, LABEL, "flag_limit_up", *keep])
+    df = history_features(panel, list(MODELS.values()), keep=[*KEYS, LABEL, "flag_limit_up", *keep])
     guess = lambda c: F.coalesce(-F.col(c), F.lit(0.0))
-    return df.withColumns({"pred_a": guess("ret_1"), "pred_b": guess("ret_5")})
+    return df.withColumns({f"pred_{m}": guess(c) for m, c in MODELS.items()})
 
 
 def identity(spark, d):
@@ -35,15 +37,16 @@ def in_folds(df):
     return df.join(fold_table(df.sparkSession, FOLDS), valid).drop("train_start", "train_end", "valid_start", "valid_end")
 
 
-def both_models(spark, d):
-    """One row per entity, date and fold, with pred_a and pred_b."""
-    return in_folds(predictions(spark, d)).select("fold", *KEYS, LABEL, "flag_limit_up", "pred_a", "pred_b")
+def both_models(spark, d, models="ab"):
+    """One row per entity, date and fold, with the models' predictions as columns."""
+    wide = in_folds(predictions(spark, d))
+    return wide.select("fold", *KEYS, LABEL, "flag_limit_up", *[f"pred_{m}" for m in models])
 
 
-def runs(spark, d):
+def runs(spark, d, models="ab"):
     """Long form: one row per model, fold, entity and date."""
-    wide = both_models(spark, d)
-    cells = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(f"pred_{m}").alias("pred")) for m in "ab"]))
+    wide = both_models(spark, d, models)
+    cells = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(f"pred_{m}").alias("pred")) for m in models]))
     return wide.select("fold", *KEYS, LABEL, "flag_limit_up", cells.alias("_c")).select(
         "_c.model", "fold", *KEYS, "_c.pred", LABEL, "flag_limit_up")
 
@@ -52,13 +55,20 @@ def dated(df, table, sizes, on=(DATE,)):
     return df.join(small_side(table, sizes), list(on))
 
 
-PREDS = S.history(["ret_1", "ret_5"], keep=("ts_code", "trade_date", "y_ret_1d", "flag_limit_up")) + """,
-preds AS (SELECT *, coalesce(-ret_1, 0) AS pred_a, coalesce(-ret_5, 0) AS pred_b, ret_1 AS pred FROM features)"""
-RUNS = PREDS + ", " + S.FOLD_VALUES + """,
-wide AS (SELECT f.fold, p.ts_code, p.trade_date, p.y_ret_1d, p.flag_limit_up, p.pred_a, p.pred_b
-  FROM preds p JOIN folds f ON p.trade_date BETWEEN f.valid_start AND f.valid_end),
-runs AS (SELECT 'a' AS model, fold, ts_code, trade_date, y_ret_1d, flag_limit_up, pred_a AS pred FROM wide
-  UNION ALL SELECT 'b', fold, ts_code, trade_date, y_ret_1d, flag_limit_up, pred_b FROM wide)"""
+PREDS = S.history(list(MODELS.values()), keep=("ts_code", "trade_date", "y_ret_1d", "flag_limit_up")) + """,
+preds AS (SELECT *, coalesce(-ret_1, 0) AS pred_a, coalesce(-ret_5, 0) AS pred_b, coalesce(-madev_5, 0) AS pred_c,
+  coalesce(-volratio_5, 0) AS pred_d, ret_1 AS pred FROM features)"""
+WIDE = PREDS + ", " + S.FOLD_VALUES + """,
+wide AS (SELECT f.fold, p.ts_code, p.trade_date, p.y_ret_1d, p.flag_limit_up, p.pred_a, p.pred_b, p.pred_c, p.pred_d
+  FROM preds p JOIN folds f ON p.trade_date BETWEEN f.valid_start AND f.valid_end)"""
+
+
+def runs_sql(models="ab"):
+    return WIDE + ", runs AS (" + " UNION ALL ".join(
+        f"SELECT '{m}' AS model, fold, ts_code, trade_date, y_ret_1d, flag_limit_up, pred_{m} AS pred FROM wide" for m in models) + ")"
+
+
+RUNS = runs_sql()
 
 
 def scored_sql(source, run=(), official=True, min_ic=5, min_pool=10, prefix=""):
