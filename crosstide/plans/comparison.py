@@ -58,7 +58,7 @@ MEMBERS_SQL = P.WIDE + """, placed AS (SELECT *, row_number() OVER (PARTITION BY
     row_number() OVER (PARTITION BY fold, trade_date ORDER BY pred_b DESC, ts_code) AS at_b, count(*) OVER (PARTITION BY fold, trade_date) AS n FROM wide WHERE flag_limit_up = 0),
   flagged AS (SELECT *, at_a <= greatest(n // 10, 1) AS in_a, at_b <= greatest(n // 10, 1) AS in_b FROM placed),
   members AS (SELECT *, CASE WHEN in_a AND in_b THEN 'common_top' WHEN in_a THEN 'a_only' WHEN in_b THEN 'b_only' ELSE 'neither' END AS membership FROM flagged),
-  overlaps AS (SELECT fold, trade_date, count(*) FILTER (in_a AND in_b) AS common, count(*) FILTER (in_a OR in_b) AS union_rows, count(*) FILTER (in_a) AS top_size,
+  overlap_days AS (SELECT fold, trade_date, count(*) FILTER (in_a AND in_b) AS common, count(*) FILTER (in_a OR in_b) AS union_rows, count(*) FILTER (in_a) AS top_size,
     count(*) FILTER (in_a AND in_b) / count(*) FILTER (in_a OR in_b)::DOUBLE AS jaccard, count(*) FILTER (in_a AND in_b) / count(*) FILTER (in_a)::DOUBLE AS overlap
     FROM members GROUP BY fold, trade_date)"""
 
@@ -67,7 +67,7 @@ def members(spark, d):
     return C.with_membership(P.both_models(spark, d), FOLD, date_sizes(spark, d))
 
 
-@query("d02_top_overlap", MEMBERS_SQL + f" SELECT fold, trade_date, common, union_rows, top_size, {S.rounded('jaccard', 'overlap')} FROM overlaps")
+@query("d02_top_overlap", MEMBERS_SQL + f" SELECT fold, trade_date, common, union_rows, top_size, {S.rounded('jaccard', 'overlap')} FROM overlap_days")
 def d02(spark, d):
     return shown(C.daily_overlap(members(spark, d), FOLD), "fold", DATE, "common", "union_rows", "top_size", "jaccard", "overlap")
 
@@ -98,7 +98,7 @@ def d04(spark, d):
 
 @query("d05_exclusive_fractions", MEMBERS_SQL + """ SELECT fold, round(avg(1 - jaccard), 6) + 0.0 AS exclusive_union_mean, round(max(1 - jaccard), 6) + 0.0 AS exclusive_union_worst,
   round(stddev_pop(1 - jaccard), 6) + 0.0 AS exclusive_union_std, round(avg(1 - overlap), 6) + 0.0 AS exclusive_per_model_mean,
-  round(max(1 - overlap), 6) + 0.0 AS exclusive_per_model_worst, round(stddev_pop(1 - overlap), 6) + 0.0 AS exclusive_per_model_std FROM overlaps GROUP BY fold""")
+  round(max(1 - overlap), 6) + 0.0 AS exclusive_per_model_worst, round(stddev_pop(1 - overlap), 6) + 0.0 AS exclusive_per_model_std FROM overlap_days GROUP BY fold""")
 def d05(spark, d):
     days = C.daily_overlap(members(spark, d), FOLD)
     parts = [(c, n, f) for c in ("exclusive_union", "exclusive_per_model") for n, f in (("mean", F.avg), ("worst", F.max), ("std", F.stddev_pop))]
@@ -329,13 +329,13 @@ MONTHLY_RUNS = P.WIDE + """, runs AS (SELECT 'a' AS model, fold, trade_date // 1
 _MONTH_RUN = ["model", "fold", "month"]
 
 
-@query("d17_monthly_deltas", MEMBERS_SQL.replace(P.WIDE, MONTHLY_RUNS, 1) + P.scored_sql("runs", _MONTH_RUN) + P.summary_sql(_MONTH_RUN) + f""",
+@query("d17_monthly_deltas", MEMBERS_SQL.replace(P.WIDE, MONTHLY_RUNS, 1) + P.scored_sql("runs", _MONTH_RUN, prefix="mm") + P.summary_sql(_MONTH_RUN, p="mm") + f""",
   pair_ranks AS (SELECT fold, trade_date, {avg_rank('pred_a', 'fold, trade_date')} AS ra, {avg_rank('pred_b', 'fold, trade_date')} AS rb FROM wide),
   corr_days AS (SELECT fold, trade_date, CASE WHEN max(ra) <> min(ra) AND max(rb) <> min(rb) THEN {corr_sql('ra', 'rb')} END AS c FROM pair_ranks GROUP BY fold, trade_date),
   corr_months AS (SELECT fold, trade_date // 100 AS month, avg(c) AS correlation FROM corr_days GROUP BY ALL),
-  over_months AS (SELECT fold, trade_date // 100 AS month, avg(jaccard) AS jaccard, avg(overlap) AS overlap FROM overlaps GROUP BY ALL),
+  over_months AS (SELECT fold, trade_date // 100 AS month, avg(jaccard) AS jaccard, avg(overlap) AS overlap FROM overlap_days GROUP BY ALL),
   months AS (SELECT fold, month, y.ic_mean - x.ic_mean AS delta_ic_mean, y.annual_excess - x.annual_excess AS delta_annual_excess, y.final_score - x.final_score AS delta_final_score,
-    correlation, jaccard, overlap FROM scores x JOIN scores y USING (fold, month) JOIN corr_months USING (fold, month) JOIN over_months USING (fold, month) WHERE x.model = 'a' AND y.model = 'b')
+    correlation, jaccard, overlap FROM mmscores x JOIN mmscores y USING (fold, month) JOIN corr_months USING (fold, month) JOIN over_months USING (fold, month) WHERE x.model = 'a' AND y.model = 'b')
   SELECT fold, CAST(month AS INTEGER) AS month, {S.rounded('delta_ic_mean', 'delta_annual_excess', 'delta_final_score', 'correlation', 'jaccard', 'overlap')} FROM months""")
 def d17(spark, d):
     sizes, month = date_sizes(spark, d), F.floor(F.col(DATE) / 100).cast("int")

@@ -38,6 +38,16 @@ bars AS (
   FROM unlabelled)"""
 
 
+def event_panel():
+    """CTEs up to ``bars``: the panel of user events."""
+    return """WITH grouped AS (SELECT user_id, CAST(ts AS DATE) AS day, arg_min(value, row(ts, event_id)) AS open, max(value) AS high, min(value) AS low,
+  arg_max(value, row(ts, event_id)) AS close, count(*)::DOUBLE AS vol, sum(value) AS amount,
+  max(CASE WHEN event_type = 'purchase' THEN 1.0 ELSE 0.0 END)::DOUBLE AS flag_limit_up, max(CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.0 END)::DOUBLE AS flag_limit_down
+  FROM events GROUP BY 1, 2),
+bars AS (SELECT printf('%06d.EV', user_id) AS ts_code, CAST(strftime(day, '%Y%m%d') AS INTEGER) AS trade_date, open, high, low, close, vol, amount,
+  flag_limit_up, flag_limit_down FROM grouped)"""
+
+
 def windows():
     named = ["e AS (PARTITION BY ts_code ORDER BY trade_date)",
              "past AS (PARTITION BY ts_code ORDER BY trade_date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"]
@@ -82,7 +92,7 @@ def staged(grain="day", source="bars"):
     """Panel CTEs plus ``stage``, which holds every helper column."""
     items = lambda d: ", ".join(f"{v} AS {k}" for k, v in d.items())
     w = "WINDOW e AS (PARTITION BY ts_code ORDER BY trade_date)"
-    return (panel(grain) + f""",
+    return ((event_panel() if grain == "events" else panel(grain)) + f""",
 stage1 AS (SELECT *, {items(FIRST)} FROM {source} {w}),
 stage2 AS (SELECT *, {items(SECOND)} FROM stage1 {w}),
 stage AS (SELECT *, {items(THIRD)} FROM stage2)""")
