@@ -88,18 +88,18 @@ def pinned(df):
     return df.checkpoint()
 
 
-def with_positions(df, by, order, sizes=None, weight=None, before="_before", total="_total"):
+def with_positions(df, by, order, sizes=None, weight=None, before="_before", total="_total", placed=False):
     """Add, per group, the weight of all earlier rows and the weight of the whole group.
 
     ``order`` must be a total order inside the group.  The weight is 1 per row by default, so
-    ``before + 1`` is the row number.
+    ``before + 1`` is the row number.  ``placed`` says that each group already lies in one partition.
     """
     by = list(by)
     amount = F.lit(1).cast("long") if weight is None else col(weight).cast("long")
     sizes = sizes_of(df, by, sizes)
     earlier = lambda w: F.coalesce(F.sum(amount).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     if sizes.fits:
-        df = spread(df, *by) if by else df
+        df = df if placed or not by else spread(df, *by)
         group = Window.partitionBy(*by)
         ordered = group.orderBy(*order)
         number = (F.row_number().over(ordered) - 1).cast("long") if weight is None else earlier(ordered)
@@ -120,7 +120,7 @@ def with_positions(df, by, order, sizes=None, weight=None, before="_before", tot
             .drop("_slice", "_start", "_inner"))
 
 
-def average_ranks(df, columns, by, keys, sizes=None, percent=True):
+def average_ranks(df, columns, by, keys, sizes=None, percent=True, placed=False):
     """Average-tie rank of each column among its non-missing values in the group.
 
     ``columns`` maps source to output name; ``keys`` identify a row.  Percentile ranks divide
@@ -128,7 +128,7 @@ def average_ranks(df, columns, by, keys, sizes=None, percent=True):
     """
     by, sizes = list(by), sizes_of(df, by, sizes)
     if sizes.fits and len(columns) <= WIDE_RANKS:
-        df = spread(df, *by)
+        df = df if placed else spread(df, *by)
         group = Window.partitionBy(*by)
         ranks = {}
         for source, out in columns.items():

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from crosstide.functions.groups import average_ranks, measure, with_positions
+from crosstide.functions.groups import average_ranks, measure, spread, with_positions
 from crosstide.functions.guards import correlation, count_true, ratio, strict_mean
 from crosstide.schema import DATE, ENTITY, KEYS, LABEL
 
@@ -101,21 +101,24 @@ def calendar(df, run=()):
     return dates.withColumns({"day": F.row_number().over(order), "previous_date": F.lag(DATE).over(order)})
 
 
-def set_turnover(tops, days, run=()):
+def set_turnover(tops, days, run=(), count=None):
     """Jaccard distance to the previous date's set, per date with a set.
 
     A member is kept when the same entity's last membership is the previous observed date, so no
-    set is ever collected.  Dates without a set break the chain.
+    set is ever collected.  Dates without a set break the chain.  ``count`` names a column whose
+    present values are counted per set.
     """
     member = Window.partitionBy(*run, ENTITY).orderBy(DATE)
-    tops = tops.select(*run, *KEYS).join(days, [*run, DATE])
+    extra = [] if count is None else [count]
+    tops = tops.select(*run, *KEYS, *extra).join(days, [*run, DATE])
     tops = tops.withColumn("_kept", F.lag(DATE).over(member) == F.col("previous_date"))
-    sets = tops.groupBy(*run, DATE).agg(F.count(F.lit(1)).alias("_size"), count_true(F.col("_kept")).alias("_both"))
+    counted = [F.count(c).alias("counted") for c in extra]
+    sets = tops.groupBy(*run, DATE).agg(F.count(F.lit(1)).alias("_size"), count_true(F.col("_kept")).alias("_both"), *counted)
     chain = Window.partitionBy(*run).orderBy(DATE)
     sets = days.join(sets, [*run, DATE], "left").withColumn("_before", F.lag("_size").over(chain))
     union = F.col("_size") + F.col("_before") - F.col("_both")
     return sets.filter(F.col("_size").isNotNull()).select(
-        *run, DATE, F.col("_size").alias("turnover_top_rows"), (1 - ratio("_both", union)).alias("turnover"))
+        *run, DATE, F.col("_size").alias("turnover_top_rows"), (1 - ratio("_both", union)).alias("turnover"), *["counted" for _ in extra])
 
 
 def daily_turnover(df, policy, run=(), sizes=None, labelled=False):
@@ -160,22 +163,77 @@ def return_summary(returns, policy, run=()):
 
 
 def turnover_summary(turnover, run=(), out="mean_turnover"):
-    return turnover.groupBy(*run).agg(F.avg("turnover").alias(out))
+    """Mean turnover; with counted sets also the number of labelled members."""
+    counted = [F.sum("counted").alias("labelled_top_rows")] if "counted" in turnover.columns else []
+    return turnover.groupBy(*run).agg(F.avg("turnover").alias(out), *counted)
 
 
 def final_score():
     return F.col("ic_mean") * 0.4 + F.col("annual_excess") * 0.3 + (1 - F.col("mean_turnover")) * 0.3
 
 
+def _one_pass(df, policy, run, sizes):
+    """Daily correlation, returns and top rows from one exchange by date.
+
+    The rows are moved once; each metric then sorts its own subset inside the date, told apart by
+    a flag in the window partition.  Both branches read the same columns, so they share the exchange.
+    """
+    by = [*run, DATE]
+    rows = spread(df.select(*run, *KEYS, "pred", LABEL, "flag_limit_up"), *by)
+    known = F.lit(True) if policy.strict else F.col("pred").isNotNull()
+    rows = rows.withColumns({"_used": F.col(LABEL).isNotNull() & known, "_pool": tradable() & known})
+    rows = rows.withColumn("_paid", F.col("_pool") & F.col(LABEL).isNotNull())
+    days = average_ranks(rows, {"pred": "_p", LABEL: "_y"}, [*by, "_used"], [*run, *KEYS], sizes, percent=False, placed=True)
+    days = with_positions(days, [*by, "_paid"], by_prediction(), sizes, before="_at", total="_n", placed=True)
+    used = lambda c: F.when(F.col("_used"), F.col(c))
+    n, at, size = F.col("_n"), F.col("_at"), policy.top(F.col("_n"))
+    bottom = F.greatest(F.floor(n / 10), F.lit(1))
+    paid = F.col("_paid") & (n >= policy.min_pool)
+    mean = lambda test: F.avg(F.when(paid & test, F.col(LABEL)))
+    days = days.groupBy(*by).agg(
+        count_true(F.col("_used")).alias("ic_rows"), F.count(used("pred")).alias("_preds"),
+        correlation(used("_p"), used("_y")).alias("rank_ic"),
+        mean(at < size).alias("top_return"), mean(at >= n - bottom).alias("bottom_return"),
+        mean(F.lit(True)).alias("market_return"))
+    enough = F.col("ic_rows") >= policy.min_ic_rows
+    days = days.withColumns({
+        "_counted": enough if policy.strict else F.lit(True),
+        "rank_ic": F.when(enough & (F.col("_preds") == F.col("ic_rows")), F.col("rank_ic")),
+        "top_excess": F.col("top_return") - F.col("market_return"), "spread": F.col("top_return") - F.col("bottom_return")})
+    tops = with_positions(rows, [*by, "_pool"], by_prediction(), sizes, before="_at", total="_n", placed=True)
+    tops = tops.filter(F.col("_pool") & (n >= policy.min_pool) & (at < size))
+    return days, tops
+
+
+def _summed(days, policy, run):
+    """Correlation and return summaries of the one-pass days, in one aggregate."""
+    x, counted = F.col("rank_ic"), F.col("_counted")
+    sd = F.stddev_samp(x) if policy.strict else F.stddev_pop(x)
+    share = F.avg(F.when(counted, F.coalesce((x > 0).cast("double"), F.lit(0.0)))) if policy.strict else F.avg((x > 0).cast("double"))
+    whole = (F.count(x) == count_true(counted)) if policy.strict else F.lit(True)
+    year = lambda c: F.avg(c) * DAYS_PER_YEAR
+    out = days.groupBy(*run).agg(
+        F.when(whole, F.avg(x)).alias("ic_mean"), F.when(whole, sd).alias("ic_std"), share.alias("ic_positive_ratio"),
+        year("top_excess").alias("annual_excess"), year("top_return").alias("top1_annual_ret"))
+    icir = F.when(F.col("ic_std") > 0, ratio("ic_mean", "ic_std"))
+    return out.withColumn("icir", F.coalesce(icir, F.lit(0.0)) if policy.strict else icir)
+
+
 def score(df, policy, run=(), sizes=None):
     """One score row per run."""
     sizes = sizes or measure(df, [*run, DATE])
-    parts = [ic_summary(daily_ic(df, policy, run, sizes), policy, run),
-             return_summary(daily_returns(df, policy, run, sizes), policy, run).drop("annual_spread"),
-             turnover_summary(daily_turnover(df, policy, run, sizes), run)]
+    if sizes.fits:
+        days, tops = _one_pass(df, policy, run, sizes)
+        parts = [_summed(days, policy, run), turnover_summary(set_turnover(tops, calendar(df, run), run, LABEL), run)]
+    else:
+        parts = [ic_summary(daily_ic(df, policy, run, sizes), policy, run),
+                 return_summary(daily_returns(df, policy, run, sizes), policy, run).drop("annual_spread"),
+                 turnover_summary(daily_turnover(df, policy, run, sizes), run)]
+        if run:
+            parts = [df.select(*run).distinct(), *parts]
     out = parts[0]
     for part in parts[1:]:
-        out = out.join(part, list(run)) if run else out.crossJoin(F.broadcast(part))
+        out = out.join(part, list(run), "left") if run else out.crossJoin(F.broadcast(part))
     return out.withColumn("final_score", final_score())
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from crosstide import catalog
-from crosstide.functions.guards import EPS, all_present, finite, max_of, min_of, positive, ratio
+from crosstide.functions.guards import EPS, finite, max_of, min_of, positive, ratio
 from crosstide.functions.groups import spread
 from crosstide.operators.ema import ema_deviation
 from crosstide.schema import DATE, ENTITY, KEYS, SOURCES
@@ -45,39 +45,43 @@ def _squared_log(a, b):
     return F.pow(F.ln(positive(a) / positive(b)), 2)
 
 
-def _paired(mine, other):
-    return F.when(all_present(mine, other), F.col(mine))
+def _log_change(source, w=1):
+    return F.log1p(source) - lag(F.log1p(source), w)
+
+
+def _pair(source):
+    """Return and log change of a row, each only where both are present."""
+    change = _log_change(source)
+    both = lag_return(1).isNotNull() & change.isNotNull()
+    return F.when(both, lag_return(1)), F.when(both, change)
 
 
 def _base():
-    """Columns of the first select, by name; each is built from raw columns only."""
-    found = {f"ret_{w}": lag_return(w) for w in catalog.RETURN_WINDOWS}
-    o, h, l, c = (F.col(p) for p in ("open", "high", "low", "close"))
-    span = h - l
-    shape = {"kmid": c - o, "klen": span, "kup": h - max_of("open", "close"),
-             "klow": min_of("open", "close") - l, "ksft": c * 2 - h - l}
+    """First-select columns by name, each made on demand from raw columns only."""
+    found = {f"ret_{w}": lambda w=w: lag_return(w) for w in catalog.RETURN_WINDOWS}
+    span = lambda: F.col("high") - F.col("low")
+    shape = {"kmid": lambda: F.col("close") - F.col("open"), "klen": span,
+             "kup": lambda: F.col("high") - max_of("open", "close"),
+             "klow": lambda: min_of("open", "close") - F.col("low"),
+             "ksft": lambda: F.col("close") * 2 - F.col("high") - F.col("low")}
     for name, top in shape.items():
-        found[name] = ratio(top, o + EPS)
+        found[name] = lambda top=top: ratio(top(), F.col("open") + EPS)
         if name != "klen":
-            found[name + "2"] = ratio(top, span + EPS)
+            found[name + "2"] = lambda top=top: ratio(top(), span() + EPS)
     for price in ("open", "high", "low"):
-        found[f"gap_{price}"] = ratio(price, lag("close")) - 1
+        found[f"gap_{price}"] = lambda p=price: ratio(p, lag("close")) - 1
     for side, source in (("vol", "vol"), ("amt", "amount")):
-        found[f"_log{side}"] = finite(F.log1p(source))
+        found[f"_log{side}"] = lambda s=source: finite(F.log1p(s))
         for w in catalog.CHANGE_WINDOWS:
-            found[f"{side}chg_{w}"] = F.log1p(source) - lag(F.log1p(source), w)
-    found["illiq_1"] = F.log1p(F.abs(lag_return(1)) * 1e8 / positive("amount"))
-    found["_downside"] = F.pow(F.when(lag_return(1).isNotNull(), F.least(lag_return(1), F.lit(0.0))), 2)
-    found["_range"] = _squared_log(h, l)
-    found["_garman"] = _squared_log(h, l) * 0.5 - _squared_log(c, o) * (2 * math.log(2) - 1)
-    found["_true_range"] = max_of(h - l, F.abs(h - lag("close")), F.abs(l - lag("close")))
-    found["_row"] = F.row_number().over(rows_of_entity())
-    for side in ("vol", "amt"):
-        change = {"vol": "vol", "amt": "amount"}[side]
-        change = F.log1p(change) - lag(F.log1p(change))
-        both = lag_return(1).isNotNull() & change.isNotNull()
-        found[f"_ret_{side}"] = F.when(both, lag_return(1))
-        found[f"_{side}_ret"] = F.when(both, change)
+            found[f"{side}chg_{w}"] = lambda s=source, w=w: _log_change(s, w)
+        found[f"_ret_{side}"] = lambda s=source: _pair(s)[0]
+        found[f"_{side}_ret"] = lambda s=source: _pair(s)[1]
+    found["illiq_1"] = lambda: F.log1p(F.abs(lag_return(1)) * 1e8 / positive("amount"))
+    found["_downside"] = lambda: F.pow(F.when(lag_return(1).isNotNull(), F.least(lag_return(1), F.lit(0.0))), 2)
+    found["_range"] = lambda: _squared_log("high", "low")
+    found["_garman"] = lambda: _squared_log("high", "low") * 0.5 - _squared_log("close", "open") * (2 * math.log(2) - 1)
+    found["_true_range"] = lambda: max_of(span(), F.abs(F.col("high") - lag("close")), F.abs(F.col("low") - lag("close")))
+    found["_row"] = lambda: F.row_number().over(rows_of_entity())
     return found
 
 
@@ -89,13 +93,15 @@ class Build:
 
     def row(self, name):
         if name not in SOURCES:
-            self.base[name] = self._known[name]
+            if name not in self.base:
+                self.base[name] = self._known[name]()
         return F.col(name)
 
     def roll(self, kind, source, w):
         self.row(source)
         name = f"_{kind}_{source}_{w}"
-        self.rolled[name] = full(AGGREGATES[kind](source), F.col(source), w)
+        if name not in self.rolled:
+            self.rolled[name] = full(AGGREGATES[kind](source), F.col(source), w)
         return F.col(name)
 
     def fit(self, kind, function, y, x, w):

@@ -9,6 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import functions as F
 
+from crosstide.functions.groups import pinned
 from crosstide.operators.prepare import imputed, kept_features, median_table, standardized, train_moments
 from crosstide.schema import KEYS
 
@@ -24,8 +25,9 @@ def prepared(rows, features):
     kept = {}
     for r in kept_features(rows, features).filter("kept").select("fold", "feature").toLocalIterator():
         kept.setdefault(r["fold"], set()).add(r["feature"])
-    filled = imputed(rows, features, median_table(rows, features))
-    return standardized(filled, features, train_moments(filled, features)), kept
+    # One small row per fold each, written once: every fit and score reads them again.
+    filled = imputed(rows, features, pinned(median_table(rows, features)))
+    return standardized(filled, features, pinned(train_moments(filled, features))), kept
 
 
 def ridge(train, target):

@@ -129,14 +129,15 @@ def summary_sql(run=(), official=True, p="", name="scores"):
         strict = lambda x: f"avg({x})"
         std, pos = "stddev_pop(rank_ic)", "avg(CASE WHEN rank_ic > 0 THEN 1.0 WHEN rank_ic IS NOT NULL THEN 0.0 END)"
         icir = "CASE WHEN ic_std > 0 THEN ic_mean / ic_std END"
-    join = (lambda t: f"JOIN {t} USING ({', '.join(run)})") if run else (lambda t: f"CROSS JOIN {t}")
+    join = (lambda t: f"LEFT JOIN {t} USING ({', '.join(run)})") if run else (lambda t: f"CROSS JOIN {t}")
+    first = f"(SELECT DISTINCT {', '.join(run)} FROM {p}cal) {join(p + 'ic_sum')}" if run else f"{p}ic_sum"
     return f""",
 {p}ic_sum AS (SELECT {keys}{strict('rank_ic')} AS ic_mean, {std} AS ic_std, {pos} AS ic_positive_ratio FROM {p}ic_days {group}),
 {p}ret_sum AS (SELECT {keys}{strict('(top_return - market_return)')} * 252 AS annual_excess, {strict('top_return')} * 252 AS top1_annual_ret,
   {strict('(top_return - bottom_return)')} * 252 AS annual_spread FROM {p}ret_days {group}),
 {p}turn_sum AS (SELECT {keys}avg(turnover) AS mean_turnover FROM {p}turn_days {group}),
 {p}{name} AS (SELECT *, {icir} AS icir, 0.4 * ic_mean + 0.3 * annual_excess + 0.3 * (1 - mean_turnover) AS final_score
-  FROM {p}ic_sum {join(p + 'ret_sum')} {join(p + 'turn_sum')})"""
+  FROM {first} {join(p + 'ret_sum')} {join(p + 'turn_sum')})"""
 
 
 METRICS = ("ic_mean", "ic_std", "icir", "ic_positive_ratio", "annual_excess", "top1_annual_ret", "mean_turnover", "final_score")
