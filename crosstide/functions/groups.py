@@ -184,7 +184,9 @@ def group_quantiles(df, by, value, probabilities, sizes=None, out="quantiles"):
                    F.max(spot - low).alias(f"_part{i}")]
     edges = placed.groupBy(*by).agg(*wanted)
     parts = [F.col(f"_low{i}") + (F.col(f"_high{i}") - F.col(f"_low{i}")) * F.col(f"_part{i}") for i in range(len(points))]
-    return edges.select(*by, F.array(*parts).alias(out))
+    found = edges.select(*by, F.array(*parts).alias(out))
+    # A group without any value keeps its row.
+    return df.select(*[col(c) for c in by]).distinct().join(found, by, "left") if by else found
 
 
 def group_median(df, by, value, sizes=None, out="median"):

@@ -3,6 +3,8 @@
 A value that is NaN or infinite counts as missing and is NULL everywhere after ingest.
 """
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,10 +27,7 @@ def ratio(a, b):
 
 
 def all_present(*cols):
-    test = F.lit(True)
-    for c in cols:
-        test = test & col(c).isNotNull()
-    return test
+    return reduce(lambda x, y: x & y, [col(c).isNotNull() for c in cols])
 
 
 def max_of(*cols):
@@ -45,10 +44,19 @@ def positive(c):
     return F.when(c > 0, c)
 
 
-def correlation(a, b):
-    """Pearson correlation as an aggregate; NULL instead of an error when a side is constant."""
-    a, b = col(a), col(b)
-    return ratio(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+def rank_correlation(a, b):
+    """Pearson correlation of two rank columns as an aggregate; NULL when a side is constant.
+
+    Ranks are multiples of one half, so these sums are exact and the result does not depend on the
+    row order: a correlation of zero is zero, never a rounding error with a sign.
+    """
+    both = all_present(a, b)
+    a, b = F.when(both, col(a)), F.when(both, col(b))
+    n = F.count(a)
+    top = n * F.sum(a * b) - F.sum(a) * F.sum(b)
+    left = n * F.sum(a * a) - F.sum(a) * F.sum(a)
+    right = n * F.sum(b * b) - F.sum(b) * F.sum(b)
+    return ratio(top, F.sqrt(left) * F.sqrt(right))
 
 
 def strict_mean(c):

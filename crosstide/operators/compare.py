@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from crosstide.functions.groups import average_ranks, group_quantiles, with_positions
-from crosstide.functions.guards import correlation, count_true, ratio
+from crosstide.functions.guards import count_true, rank_correlation, ratio
 from crosstide.operators.evaluate import tradable
 from crosstide.schema import DATE, ENTITY, KEYS, LABEL
 
@@ -14,7 +14,7 @@ GROUPS = ("common_top", "a_only", "b_only", "neither")
 def daily_correlation(df, run=(), sizes=None, a="pred_a", b="pred_b"):
     """Spearman correlation of two predictions per date."""
     ranked = average_ranks(df, {a: "_a", b: "_b"}, [*run, DATE], [*run, *KEYS], sizes, percent=False)
-    return ranked.groupBy(*run, DATE).agg(correlation("_a", "_b").alias("prediction_spearman"))
+    return ranked.groupBy(*run, DATE).agg(rank_correlation("_a", "_b").alias("prediction_spearman"))
 
 
 def daily_summary(daily, value, run=(), sizes=None):

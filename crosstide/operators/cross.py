@@ -52,7 +52,7 @@ def date_statistics(df, aggregates, medians, sizes=None):
     if aggregates:
         table = df.groupBy(DATE).agg(*[a.alias(n) for n, a in aggregates.items()])
         df = df.join(small_side(table, sizes), DATE)
-    return df.join(small_side(date_medians(df, medians, sizes), sizes), DATE) if medians else df
+    return df.join(small_side(date_medians(df, medians, sizes), sizes), DATE, "left") if medians else df
 
 
 def market_features(df, sizes=None):

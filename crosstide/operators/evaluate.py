@@ -12,7 +12,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from crosstide.functions.groups import average_ranks, measure, spread, with_positions
-from crosstide.functions.guards import correlation, count_true, ratio, strict_mean
+from crosstide.functions.guards import count_true, rank_correlation, ratio, strict_mean
 from crosstide.schema import DATE, ENTITY, KEYS, LABEL
 
 DAYS_PER_YEAR = 252
@@ -55,7 +55,7 @@ def daily_ic(df, policy, run=(), sizes=None):
         used = used.filter(F.col("pred").isNotNull())
     ranked = average_ranks(used, {"pred": "_p", LABEL: "_y"}, by, [*run, *KEYS], sizes, percent=False)
     days = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("ic_rows"), F.count("pred").alias("_preds"),
-                                   correlation("_p", "_y").alias("rank_ic"))
+                                   rank_correlation("_p", "_y").alias("rank_ic"))
     days = days.withColumn("rank_ic", F.when((F.col("ic_rows") >= policy.min_ic_rows)
                                              & (F.col("_preds") == F.col("ic_rows")), F.col("rank_ic"))).drop("_preds")
     return days.filter(F.col("ic_rows") >= policy.min_ic_rows) if policy.strict else days
@@ -192,7 +192,7 @@ def _one_pass(df, policy, run, sizes):
     mean = lambda test: F.avg(F.when(paid & test, F.col(LABEL)))
     days = days.groupBy(*by).agg(
         count_true(F.col("_used")).alias("ic_rows"), F.count(used("pred")).alias("_preds"),
-        correlation(used("_p"), used("_y")).alias("rank_ic"),
+        rank_correlation(used("_p"), used("_y")).alias("rank_ic"),
         mean(at < size).alias("top_return"), mean(at >= n - bottom).alias("bottom_return"),
         mean(F.lit(True)).alias("market_return"))
     enough = F.col("ic_rows") >= policy.min_ic_rows

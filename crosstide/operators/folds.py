@@ -43,9 +43,10 @@ def _in_valid():
 
 
 def candidate_rows(df, folds):
-    """Row x fold with ``role`` train or valid, before purging."""
+    """Row x fold x ``role`` (train, valid), before purging; overlapping periods give both."""
     joined = df.join(fold_table(df.sparkSession, folds), _in_train() | _in_valid())
-    return joined.withColumn("role", F.when(_in_valid(), "valid").otherwise("train"))
+    roles = F.array(F.when(_in_train(), "train"), F.when(_in_valid(), "valid"))
+    return joined.withColumn("role", F.explode(F.array_compact(roles)))
 
 
 def purge_dates(df, folds):

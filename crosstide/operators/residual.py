@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from crosstide.functions.groups import average_ranks
-from crosstide.functions.guards import all_present, correlation, count_true, ratio
+from crosstide.functions.guards import all_present, count_true, rank_correlation, ratio
 from crosstide.schema import DATE, KEYS
 
 REGIONS = ("full", "top20", "middle60")
@@ -35,8 +35,8 @@ def column_rank_correlations(df, features, against, by, keys, minimum_rows, size
     columns = {"value": "_value_rank", **{a: f"_{a}_rank" for a in against}}
     ranked = average_ranks(long, columns, group, [*dict.fromkeys([*by, *keys]), "feature"], sizes, percent=False)
     return ranked.groupBy(*group).agg(F.count(F.lit(1)).alias("pair_rows"), *[
-        correlation("_value_rank", f"_{a}_rank").alias(f"ic_{a}") for a in against], *[
-        correlation(f"_{a}_rank", f"_{b}_rank").alias(f"ic_{a}_{b}") for i, a in enumerate(against) for b in against[i + 1:]
+        rank_correlation("_value_rank", f"_{a}_rank").alias(f"ic_{a}") for a in against], *[
+        rank_correlation(f"_{a}_rank", f"_{b}_rank").alias(f"ic_{a}_{b}") for i, a in enumerate(against) for b in against[i + 1:]
     ]).filter(F.col("pair_rows") >= minimum_rows)
 
 

@@ -87,7 +87,8 @@ def scored_sql(source, run=(), official=True, min_ic=5, min_pool=10, prefix=""):
   WHERE y_ret_1d IS NOT NULL{known}),
 {p}ic_days AS (SELECT {by}, count(*) AS ic_rows, CASE WHEN count(*) >= {min_ic} AND count(pred) = count(*)
   AND max(rp) <> min(rp) AND max(ry) <> min(ry)
-  THEN covar_pop(rp, ry) / (stddev_pop(rp) * stddev_pop(ry)) END AS rank_ic FROM {p}ic_rows GROUP BY {by}{having}),
+  THEN (count(*) * sum(rp * ry) - sum(rp) * sum(ry)) / sqrt(count(*) * sum(rp * rp) - sum(rp) * sum(rp))
+    / sqrt(count(*) * sum(ry * ry) - sum(ry) * sum(ry)) END AS rank_ic FROM {p}ic_rows GROUP BY {by}{having}),
 {p}ret_pool AS (SELECT {by}, ts_code, pred, y_ret_1d, row_number() OVER (PARTITION BY {by} ORDER BY pred DESC NULLS LAST, ts_code) AS place,
   count(*) OVER (PARTITION BY {by}) AS n FROM {source} WHERE flag_limit_up = 0 AND y_ret_1d IS NOT NULL{known}),
 {p}ret_days AS (SELECT {by}, count(*) AS return_rows, max({top}) AS return_top_rows,
