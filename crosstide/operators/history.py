@@ -1,8 +1,11 @@
 """Trailing features along an entity's observed rows.
 
-All frames share one partitioning and order, so a build needs one exchange.  Columns are made
-in three selects: values of single rows and lags, rolling aggregates over those, and arithmetic
-on both.  A row with a missing value keeps its place: frames count rows, never calendar days.
+All frames share one partitioning and order, so a build needs one exchange and one sort.  Columns
+are made in four selects: values of single rows and lags, running sums and counts, rolling
+aggregates, and arithmetic on those.  Rolling means, sums and counts are differences of running
+ones, which costs the same for every width; spreads, extremes and fits walk their frame, since
+differences of running squares would cancel.  A row with a missing value keeps its place: frames
+count rows, never calendar days.
 """
 
 import math
@@ -17,7 +20,7 @@ from crosstide.operators.ema import ema_deviation
 from crosstide.schema import DATE, ENTITY, KEYS, SOURCES
 
 ROWS_SINCE_CAP = 61
-AGGREGATES = {"avg": F.avg, "sum": F.sum, "std": F.stddev_pop, "min": F.min, "max": F.max}
+AGGREGATES = {"std": F.stddev_pop, "min": F.min, "max": F.max}
 
 
 def rows_of_entity():
@@ -32,9 +35,15 @@ def lag(c, w=1):
     return F.lag(c, w).over(rows_of_entity())
 
 
-def full(aggregate, x, w):
-    """Aggregate of the last w rows, defined only when all w values are present."""
-    return F.when(F.count(x).over(trailing(w)) == w, aggregate.over(trailing(w)))
+def running(x):
+    """Running sum and count of the finite values so far."""
+    upto = rows_of_entity().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return F.coalesce(F.sum(finite(x)).over(upto), F.lit(0.0)), F.count(finite(x)).over(upto)
+
+
+def last_rows(total, w):
+    """Amount of a running total that falls in the last w rows."""
+    return F.col(total) - F.coalesce(lag(total, w), F.lit(0))
 
 
 def lag_return(w, value="close"):
@@ -86,29 +95,40 @@ def _base():
 
 
 class Build:
-    """Collects which first- and second-level columns a set of features needs."""
+    """Collects which columns of the first three selects a set of features needs."""
 
     def __init__(self):
-        self.base, self.rolled, self._known = {}, {}, _base()
+        self.base, self.running, self.rolled, self._known = {}, {}, {}, _base()
 
     def row(self, name):
-        if name not in SOURCES:
-            if name not in self.base:
-                self.base[name] = self._known[name]()
+        if name not in SOURCES and name not in self.base:
+            self.base[name] = self._known[name]()
         return F.col(name)
 
-    def roll(self, kind, source, w):
+    def _complete(self, source, w):
+        """Whether all of the last w values are present."""
         self.row(source)
-        name = f"_{kind}_{source}_{w}"
+        if f"_count_{source}" not in self.running:
+            self.running[f"_sum_{source}"], self.running[f"_count_{source}"] = running(source)
+        return last_rows(f"_count_{source}", w) == w
+
+    def _rolled(self, name, source, w, value):
         if name not in self.rolled:
-            self.rolled[name] = full(AGGREGATES[kind](source), F.col(source), w)
+            self.rolled[name] = F.when(self._complete(source, w), value())
         return F.col(name)
 
-    def fit(self, kind, function, y, x, w):
-        self.row(y), self.row(x)
-        name = f"_{kind}_{y}_{x}_{w}"
-        self.rolled[name] = full(function, F.col(y), w)
-        return F.col(name)
+    def roll(self, kind, source, w):
+        if kind == "sum":
+            value = lambda: last_rows(f"_sum_{source}", w)
+        elif kind == "avg":
+            value = lambda: last_rows(f"_sum_{source}", w) / w
+        else:
+            value = lambda: AGGREGATES[kind](source).over(trailing(w))
+        return self._rolled(f"_{kind}_{source}_{w}", source, w, value)
+
+    def covariance(self, y, x, w):
+        self.row(x)
+        return self._rolled(f"_covar_{y}_{x}_{w}", y, w, lambda: F.covar_pop(y, x).over(trailing(w)))
 
     def last_event(self, flag):
         self.row("_row")
@@ -132,10 +152,11 @@ def _definitions(b):
         d[f"ma_{x}_over_{y}"] = lambda x=x, y=y: ratio(b.roll("avg", "close", x), b.roll("avg", "close", y)) - 1
     for w in catalog.RATIO_WINDOWS:
         flat = lambda w: b.roll("max", "close", w) == b.roll("min", "close", w)
+        # Row numbers of a full frame are consecutive, so their variance is (w*w - 1) / 12.
         d[f"slope_{w}"] = lambda w=w: F.when(flat(w), 0.0).otherwise(
-            ratio(b.fit("slope", F.regr_slope("close", "_row"), "close", "_row", w), c + EPS))
-        d[f"rsq_{w}"] = lambda w=w: F.when(
-            ~flat(w), b.fit("rsq", F.regr_r2("close", "_row"), "close", "_row", w))
+            ratio(b.covariance("close", "_row", w) / ((w * w - 1) / 12), c + EPS))
+        d[f"rsq_{w}"] = lambda w=w: F.when(~flat(w), ratio(
+            F.pow(b.covariance("close", "_row", w), 2), F.pow(b.roll("std", "close", w), 2) * ((w * w - 1) / 12)))
         d[f"rsv_{w}"] = lambda w=w: ratio(
             c - b.roll("min", "low", w), b.roll("max", "high", w) - b.roll("min", "low", w) + EPS)
         d[f"stdret_{w}"] = lambda w=w: b.roll("std", "ret_1", w)
@@ -156,7 +177,7 @@ def _definitions(b):
             d[f"log{side}_std_{w}"] = lambda s=side, w=w: b.roll("std", f"_log{s}", w)
         for w in catalog.CORRELATION_WINDOWS:
             d[f"corr_ret_dlog{side}_{w}"] = lambda s=side, w=w: ratio(
-                b.fit("covar", F.covar_pop(f"_ret_{s}", f"_{s}_ret"), f"_ret_{s}", f"_{s}_ret", w),
+                b.covariance(f"_ret_{s}", f"_{s}_ret", w),
                 b.roll("std", f"_ret_{s}", w) * b.roll("std", f"_{s}_ret", w))
     for side in ("up", "down"):
         flag = f"flag_limit_{side}"
@@ -182,6 +203,8 @@ def history_features(panel, names, keep=KEYS):
         df = ema_deviation(df, spans).drop("_seen", *[f"_ema_{s}" for s in spans])
     if b.base:
         df = df.select("*", *[v.alias(k) for k, v in b.base.items()])
+    if b.running:
+        df = df.select("*", *[v.alias(k) for k, v in b.running.items()])
     if b.rolled:
         df = df.select("*", *[v.alias(k) for k, v in b.rolled.items()])
     return df.select(*keep, *[(last[n] if n in last else F.col(n)).alias(n) for n in names])
