@@ -1,10 +1,11 @@
 """Trailing features along an entity's observed rows.
 
 All frames share one partitioning and order, so a build needs one exchange and one sort.  Columns
-are made in four selects: values of single rows and lags, running sums and counts, rolling
-aggregates, and arithmetic on those.  Rolling means, sums and counts are differences of running
-ones, which costs the same for every width; spreads, extremes and fits walk their frame, since
-differences of running squares would cancel.  A row with a missing value keeps its place: frames
+are made in a few selects: values of single rows and lags, running sums and counts, rolling
+aggregates, and arithmetic on those.  Rolling sums, means and spreads are differences of running
+sums, which costs the same for every width; spreads of returns and centred logs are small numbers,
+so little cancels, and a window without any change is told apart exactly by counting changes.
+Extremes and price fits walk their frame.  A row with a missing value keeps its place: frames
 count rows, never calendar days.
 """
 
@@ -27,6 +28,10 @@ def rows_of_entity():
     return Window.partitionBy(ENTITY).orderBy(DATE)
 
 
+def so_far():
+    return rows_of_entity().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
 def trailing(w):
     return rows_of_entity().rowsBetween(-(w - 1), 0)
 
@@ -36,9 +41,8 @@ def lag(c, w=1):
 
 
 def running(x):
-    """Running sum and count of the finite values so far."""
-    upto = rows_of_entity().rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return F.coalesce(F.sum(finite(x)).over(upto), F.lit(0.0)), F.count(finite(x)).over(upto)
+    """Running sum of the finite values so far."""
+    return F.coalesce(F.sum(finite(x)).over(so_far()), F.lit(0.0))
 
 
 def last_rows(total, w):
@@ -80,7 +84,7 @@ def _base():
     for price in ("open", "high", "low"):
         found[f"gap_{price}"] = lambda p=price: ratio(p, lag("close")) - 1
     for side, source in (("vol", "vol"), ("amt", "amount")):
-        found[f"_log{side}"] = lambda s=source: finite(F.log1p(s))
+        found[f"_log{side}"] = lambda s=source: finite(F.log1p(s)) - F.first(finite(F.log1p(s)), ignorenulls=True).over(so_far())
         for w in catalog.CHANGE_WINDOWS:
             found[f"{side}chg_{w}"] = lambda s=source, w=w: _log_change(s, w)
         found[f"_ret_{side}"] = lambda s=source: _pair(s)[0]
@@ -98,7 +102,7 @@ class Build:
     """Collects which columns of the first three selects a set of features needs."""
 
     def __init__(self):
-        self.base, self.running, self.rolled, self._known = {}, {}, {}, _base()
+        self.base, self.moves, self.running, self.rolled, self._known = {}, {}, {}, {}, _base()
 
     def row(self, name):
         if name not in SOURCES and name not in self.base:
@@ -109,27 +113,57 @@ class Build:
         """Whether all of the last w values are present."""
         self.row(source)
         if f"_count_{source}" not in self.running:
-            self.running[f"_sum_{source}"], self.running[f"_count_{source}"] = running(source)
+            self.running[f"_count_{source}"] = F.count(finite(source)).over(so_far())
         return last_rows(f"_count_{source}", w) == w
 
+    def _total(self, name, x, w):
+        """Sum over the last w rows, from a running sum."""
+        if name not in self.running:
+            self.running[name] = running(x)
+        return last_rows(name, w)
+
+    def flat(self, source, w):
+        """Whether the last w values are all the same: no change between neighbours."""
+        self.row(source)
+        self.moves[f"_moved_{source}"] = F.coalesce((F.col(source) != lag(source)).cast("double"), F.lit(0.0))
+        return self._total(f"_moves_{source}", F.col(f"_moved_{source}"), w - 1) == 0
+
     def _rolled(self, name, source, w, value):
         if name not in self.rolled:
             self.rolled[name] = F.when(self._complete(source, w), value())
         return F.col(name)
 
     def roll(self, kind, source, w):
-        if kind == "sum":
-            value = lambda: last_rows(f"_sum_{source}", w)
-        elif kind == "avg":
-            value = lambda: last_rows(f"_sum_{source}", w) / w
+        if kind in ("sum", "avg"):
+            value = lambda: self._total(f"_sum_{source}", F.col(source), w) / (w if kind == "avg" else 1)
         else:
             value = lambda: AGGREGATES[kind](source).over(trailing(w))
         return self._rolled(f"_{kind}_{source}_{w}", source, w, value)
 
+    def spread(self, source, w):
+        """Population standard deviation, exactly 0 for a constant window."""
+        def value():
+            mean = self._total(f"_sum_{source}", F.col(source), w) / w
+            square = self._total(f"_square_{source}", F.col(source) * F.col(source), w) / w
+            return F.when(self.flat(source, w), 0.0).otherwise(F.sqrt(F.greatest(square - mean * mean, F.lit(0.0))))
+        return self._rolled(f"_spread_{source}_{w}", source, w, value)
+
+    def comoment(self, a, b, w):
+        """Population covariance of two columns that are present together."""
+        def value():
+            product = self._total(f"_product_{a}_{b}", F.col(a) * F.col(b), w) / w
+            return product - self._total(f"_sum_{a}", F.col(a), w) * self._total(f"_sum_{b}", F.col(b), w) / (w * w)
+        self.row(b)
+        return self._rolled(f"_comoment_{a}_{b}_{w}", a, w, value)
+
     def covariance(self, y, x, w):
+        """Population covariance computed inside the frame."""
         self.row(x)
         return self._rolled(f"_covar_{y}_{x}_{w}", y, w, lambda: F.covar_pop(y, x).over(trailing(w)))
 
+    def level(self, source, w):
+        return self._rolled(f"_flat_{source}_{w}", source, w, lambda: self.flat(source, w))
+
     def last_event(self, flag):
         self.row("_row")
         seen = rows_of_entity().rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -155,11 +189,11 @@ def _definitions(b):
         # Row numbers of a full frame are consecutive, so their variance is (w*w - 1) / 12.
         d[f"slope_{w}"] = lambda w=w: F.when(flat(w), 0.0).otherwise(
             ratio(b.covariance("close", "_row", w) / ((w * w - 1) / 12), c + EPS))
-        d[f"rsq_{w}"] = lambda w=w: F.when(~flat(w), ratio(
+        d[f"rsq_{w}"] = lambda w=w: F.when(~b.level("close", w), ratio(
             F.pow(b.covariance("close", "_row", w), 2), F.pow(b.roll("std", "close", w), 2) * ((w * w - 1) / 12)))
         d[f"rsv_{w}"] = lambda w=w: ratio(
             c - b.roll("min", "low", w), b.roll("max", "high", w) - b.roll("min", "low", w) + EPS)
-        d[f"stdret_{w}"] = lambda w=w: b.roll("std", "ret_1", w)
+        d[f"stdret_{w}"] = lambda w=w: b.spread("ret_1", w)
         d[f"downvol_{w}"] = lambda w=w: F.sqrt(b.roll("avg", "_downside", w))
         d[f"parkinson_{w}"] = lambda w=w: F.sqrt(b.roll("avg", "_range", w) / (4 * math.log(2)))
         d[f"gkvol_{w}"] = lambda w=w: F.sqrt(max_of(b.roll("avg", "_garman", w), F.lit(0.0)))
@@ -174,11 +208,10 @@ def _definitions(b):
         for w in catalog.CHANGE_WINDOWS:
             d[f"{side}chg_{w}"] = lambda s=side, w=w: b.row(f"{s}chg_{w}")
         for w in catalog.EXTREME_WINDOWS:
-            d[f"log{side}_std_{w}"] = lambda s=side, w=w: b.roll("std", f"_log{s}", w)
+            d[f"log{side}_std_{w}"] = lambda s=side, w=w: b.spread(f"_log{s}", w)
         for w in catalog.CORRELATION_WINDOWS:
             d[f"corr_ret_dlog{side}_{w}"] = lambda s=side, w=w: ratio(
-                b.covariance(f"_ret_{s}", f"_{s}_ret", w),
-                b.roll("std", f"_ret_{s}", w) * b.roll("std", f"_{s}_ret", w))
+                b.comoment(f"_ret_{s}", f"_{s}_ret", w), b.spread(f"_ret_{s}", w) * b.spread(f"_{s}_ret", w))
     for side in ("up", "down"):
         flag = f"flag_limit_{side}"
         d[flag] = lambda f=flag: F.col(f)
@@ -203,6 +236,8 @@ def history_features(panel, names, keep=KEYS):
         df = ema_deviation(df, spans).drop("_seen", *[f"_ema_{s}" for s in spans])
     if b.base:
         df = df.select("*", *[v.alias(k) for k, v in b.base.items()])
+    if b.moves:
+        df = df.select("*", *[v.alias(k) for k, v in b.moves.items()])
     if b.running:
         df = df.select("*", *[v.alias(k) for k, v in b.running.items()])
     if b.rolled:
