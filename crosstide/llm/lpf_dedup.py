@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crosstide.llm.common import Scratch, chunked, ids_of, packed, unpacked
+from crosstide.llm.common import Scratch, chunked, packed, steps, unpacked
 
 LENGTH, CHUNK_BYTES, BUCKET_BYTES = 50, 2 << 20, 16 << 20
 
@@ -117,8 +117,9 @@ def _chunk(row, length: int):
 
 
 def _by_bucket(anchor: np.ndarray, buckets: int):
-    """(bucket, key) of anchors: the key is unique in its bucket but for rare clashes, which only send more."""
-    return ((anchor >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64), anchor.astype(np.uint32)
+    """(bucket, key) of anchors: the key is unique in its bucket but for rare clashes, which only send more. Keys of rising
+    anchors rise."""
+    return (anchor.astype(np.uint32) % np.uint32(buckets)).astype(np.int64), (anchor >> np.uint64(32)).astype(np.uint32)
 
 
 def _requests(length: int, buckets: int):
@@ -133,13 +134,13 @@ def _requests(length: int, buckets: int):
                 bucket, key = _by_bucket(distinct, buckets)
                 order = np.argsort(bucket, kind="stable")
                 for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []:
-                    yield pa.RecordBatch.from_pydict({"chunk_id": [row["chunk_id"]], "bucket": [int(bucket[part[0]])], "keys": [key[part].tobytes()], "several": [np.packbits(several[part]).tobytes()]})
+                    yield pa.RecordBatch.from_pydict({"chunk_id": [row["chunk_id"]], "bucket": [int(bucket[part[0]])], "keys": [packed(steps(key[part], np.uint32))], "several": [np.packbits(several[part]).tobytes()]})
     return run
 
 
 def _shared(table: pa.Table) -> pa.Table:
     """One bucket: which keys stand in several documents, a bit for each key that a chunk sent."""
-    keys = [np.frombuffer(b, np.uint32) for b in table["keys"].to_pylist()]
+    keys = [np.cumsum(unpacked(b, np.uint32), dtype=np.int64) for b in table["keys"].to_pylist()]
     several = [np.unpackbits(np.frombuffer(b, np.uint8), count=len(k)) for b, k in zip(table["several"].to_pylist(), keys, strict=True)]
     _, owner, count = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
     shared = count > 1
@@ -173,7 +174,7 @@ def _segments(length: int, buckets: int):
                 least, first = np.full(len(seen), np.iinfo(np.int64).max), np.unique(number, return_index=True)[1]
                 np.minimum.at(least, number, doc[part])
                 out.append((row["chunk_id"], int(of[part[0]]), packed(b"".join(seen)), packed(np.array([len(s) for s in seen], np.uint32)), packed(key[owner[use[part[first]]]]), packed(least),
-                            packed(np.concatenate([number.astype(np.uint32), start[use[part]].astype(np.uint32)]))))
+                            packed(np.concatenate([steps(number, np.int32), steps(start[use[part]], np.int32)]))))
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)] if out else [pa.array([], f.type) for f in schema], schema=schema)
 
     return run
@@ -233,7 +234,7 @@ def _covered(n: int, offsets, ids, length: int, right: pa.Table) -> np.ndarray:
             judged[r["bucket"]] = r
     for b, r in sent.items():
         size, least = unpacked(r["sizes"], np.uint32).astype(np.int64), unpacked(r["docs"], np.int64)
-        number, start = unpacked(r["places"], np.uint32).astype(np.int64).reshape(2, -1)
+        number, start = np.cumsum(unpacked(r["places"], np.int32).reshape(2, -1), axis=1, dtype=np.int64)
         state, bits = unpacked(judged[b]["state"], np.uint8), unpacked(judged[b]["bits"])
         doc = ids[np.searchsorted(offsets, start, side="right") - 1]
         whole = (state[number] == 1) | (doc > least[number])
