@@ -35,10 +35,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables written to the shared folder and read again: they cut lineage and survive lost executors."""
+    """Tables written to the shared folder and read again: they cut lineage and survive lost executors. The folder goes when the
+    driver's JVM ends, since results are lazy and may read it until then."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        system.mkdirs(path)
+        system.deleteOnExit(path)
 
     def table(self, name: str, df: DataFrame) -> DataFrame:
         df.write.option("compression", "zstd").parquet(f"{self.root}/{name}")
