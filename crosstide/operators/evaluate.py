@@ -224,7 +224,8 @@ def score(df, policy, run=(), sizes=None):
     sizes = sizes or measure(df, [*run, DATE])
     if sizes.fits:
         days, tops = _one_pass(df, policy, run, sizes)
-        parts = [_summed(days, policy, run), turnover_summary(set_turnover(tops, calendar(df, run), run, LABEL), run)]
+        turnover = turnover_summary(set_turnover(tops, calendar(df, run), run, LABEL), run).drop("labelled_top_rows")
+        parts = [_summed(days, policy, run), turnover]
     else:
         parts = [ic_summary(daily_ic(df, policy, run, sizes), policy, run),
                  return_summary(daily_returns(df, policy, run, sizes), policy, run).drop("annual_spread"),

@@ -2,10 +2,10 @@
 
 All frames share one partitioning and order, so a build needs one exchange and one sort.  Columns
 are made in a few selects: values of single rows and lags, running sums and counts, rolling
-aggregates, and arithmetic on those.  Rolling sums, means and spreads are differences of running
-sums, which costs the same for every width; spreads of returns and centred logs are small numbers,
-so little cancels, and a window without any change is told apart exactly by counting changes.
-Extremes and price fits walk their frame.  A row with a missing value keeps its place: frames
+aggregates, and arithmetic on those.  Means, spreads, co-moments, extremes and price fits aggregate
+inside their frame (at most 60 rows), so a large value leaves no trace once it has left the window.
+Only counts are differences of running totals, which is exact; a window without any change is told
+apart by counting changes.  A row with a missing value keeps its place: frames
 count rows, never calendar days.
 """
 
@@ -21,7 +21,7 @@ from crosstide.operators.ema import ema_deviation
 from crosstide.schema import DATE, ENTITY, KEYS, SOURCES
 
 ROWS_SINCE_CAP = 61
-AGGREGATES = {"std": F.stddev_pop, "min": F.min, "max": F.max}
+AGGREGATES = {"sum": F.sum, "avg": F.avg, "std": F.stddev_pop, "min": F.min, "max": F.max}
 
 
 def rows_of_entity():
@@ -84,7 +84,7 @@ def _base():
     for price in ("open", "high", "low"):
         found[f"gap_{price}"] = lambda p=price: ratio(p, lag("close")) - 1
     for side, source in (("vol", "vol"), ("amt", "amount")):
-        found[f"_log{side}"] = lambda s=source: finite(F.log1p(s)) - F.first(finite(F.log1p(s)), ignorenulls=True).over(so_far())
+        found[f"_log{side}"] = lambda s=source: finite(F.log1p(s))
         for w in catalog.CHANGE_WINDOWS:
             found[f"{side}chg_{w}"] = lambda s=source, w=w: _log_change(s, w)
         found[f"_ret_{side}"] = lambda s=source: _pair(s)[0]
@@ -134,27 +134,17 @@ class Build:
         return F.col(name)
 
     def roll(self, kind, source, w):
-        if kind in ("sum", "avg"):
-            value = lambda: self._total(f"_sum_{source}", F.col(source), w) / (w if kind == "avg" else 1)
-        else:
-            value = lambda: AGGREGATES[kind](source).over(trailing(w))
-        return self._rolled(f"_{kind}_{source}_{w}", source, w, value)
+        return self._rolled(f"_{kind}_{source}_{w}", source, w, lambda: AGGREGATES[kind](source).over(trailing(w)))
 
     def spread(self, source, w):
         """Population standard deviation, exactly 0 for a constant window."""
-        def value():
-            mean = self._total(f"_sum_{source}", F.col(source), w) / w
-            square = self._total(f"_square_{source}", F.col(source) * F.col(source), w) / w
-            return F.when(self.flat(source, w), 0.0).otherwise(F.sqrt(F.greatest(square - mean * mean, F.lit(0.0))))
+        value = lambda: F.when(self.flat(source, w), 0.0).otherwise(F.stddev_pop(source).over(trailing(w)))
         return self._rolled(f"_spread_{source}_{w}", source, w, value)
 
     def comoment(self, a, b, w):
         """Population covariance of two columns that are present together."""
-        def value():
-            product = self._total(f"_product_{a}_{b}", F.col(a) * F.col(b), w) / w
-            return product - self._total(f"_sum_{a}", F.col(a), w) * self._total(f"_sum_{b}", F.col(b), w) / (w * w)
         self.row(b)
-        return self._rolled(f"_comoment_{a}_{b}_{w}", a, w, value)
+        return self._rolled(f"_comoment_{a}_{b}_{w}", a, w, lambda: F.covar_pop(a, b).over(trailing(w)))
 
     def covariance(self, y, x, w):
         """Population covariance computed inside the frame."""

@@ -3,6 +3,7 @@
 The inputs are score tables: one row per experiment, fold and grid point.
 """
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from crosstide.functions.guards import count_true, ratio, strict_mean
@@ -33,8 +34,13 @@ def best(found, *tie_breaks):
 
 
 def select_grid_point(scores, by=()):
+    """One winner for each value of ``by`` (for instance each model)."""
     found = candidates(scores, [*by, "alpha", "exit_fraction"])
-    return best(found, F.desc("alpha"), F.asc("exit_fraction"))
+    if not by:
+        return best(found, F.desc("alpha"), F.asc("exit_fraction"))
+    order = Window.partitionBy(*by).orderBy(
+        F.desc("mean_score"), F.desc("worst_score"), F.asc("mean_turnover"), F.desc("alpha"), F.asc("exit_fraction"))
+    return found.withColumn("_place", F.row_number().over(order)).filter("_place = 1").drop("_place")
 
 
 def blend(df, a, b, weight, out="pred"):
@@ -171,9 +177,9 @@ def replay_parity(left, right, keys, metrics, tolerance):
     return both.select(*keys, gap.alias("largest_difference"), F.coalesce(gap <= tolerance, F.lit(False)).alias("within"))
 
 
-def metric_surface(scores, exits, metric="final_score"):
-    """Mean metric by alpha (rows) and exit fraction (columns)."""
+def metric_surface(scores, exits, metric="final_score", by=()):
+    """Mean metric by alpha (rows) and exit fraction (columns), for each value of ``by``."""
     named = scores.withColumn("exit_name", F.concat(
         F.lit("exit_"), F.lpad(F.round(F.col("exit_fraction") * 1000).cast("int").cast("string"), 3, "0")))
     names = [f"exit_{round(e * 1000):03d}" for e in exits]
-    return named.groupBy("alpha").pivot("exit_name", names).agg(F.avg(metric))
+    return named.groupBy(*by, "alpha").pivot("exit_name", names).agg(F.avg(metric))

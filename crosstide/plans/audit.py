@@ -280,9 +280,9 @@ def p01(spark, d):
     return shown(labelled(spark, d).withColumn("x", finite(raw)), *KEYS, "x")
 
 
-@query("p02_supervised_rows", PANEL + f" SELECT {ROWS}, {S.rounded('y_ret_1d')} FROM bars WHERE y_ret_1d IS NOT NULL AND flag_limit_down = 0")
+@query("p02_supervised_rows", PANEL + f" SELECT {ROWS}, {S.rounded('y_ret_1d')} FROM bars WHERE y_ret_1d IS NOT NULL")
 def p02(spark, d):
-    return shown(labelled(spark, d).filter(F.col(LABEL).isNotNull() & (F.col("flag_limit_down") == 0)), *KEYS, LABEL)
+    return shown(labelled(spark, d).filter(F.col(LABEL).isNotNull()), *KEYS, LABEL)
 
 
 @query("p03_date_range", PANEL + f" SELECT {ROWS}, vol FROM bars WHERE trade_date BETWEEN 19990101 AND 19991231")

@@ -255,14 +255,14 @@ def d11(spark, d):
 
 @query("d12_partial_correlation", STUDY_SQL + f""", partials AS (SELECT *, CASE WHEN abs(ic_pred_rank) < 0.999999 AND abs(ic_label_pred) < 0.999999
     THEN (ic_label - ic_pred_rank * ic_label_pred) / sqrt((1 - ic_pred_rank * ic_pred_rank) * (1 - ic_label_pred * ic_label_pred)) END AS partial_ic FROM daily)
-  SELECT {BY}, pair_rows, {S.rounded('ic_label', 'ic_pred_rank', 'partial_ic')} FROM partials WHERE abs(ic_pred_rank) < 0.999999 AND abs(ic_label_pred) < 0.999999""")
+  SELECT {BY}, pair_rows, {S.rounded('ic_label', 'ic_pred_rank', 'ic_label_pred', 'partial_ic')} FROM partials""")
 def d12(spark, d):
     rows = studied(spark, d)
     daily = D.column_rank_correlations(rows, STUDIED, [LABEL, "pred_rank"], ["fold", "region", DATE], [ENTITY], MIN_ROWS, date_sizes(spark, d))
     daily = daily.withColumnsRenamed({f"ic_{LABEL}": "ic_label", f"ic_{LABEL}_pred_rank": "ic_label_pred"})
-    daily = daily.withColumn("partial_ic", D.partial_correlation("ic_label", "ic_pred_rank", "ic_label_pred"))
-    open_days = (F.abs("ic_pred_rank") < 0.999999) & (F.abs("ic_label_pred") < 0.999999)
-    return shown(daily.filter(open_days), "fold", "region", "feature", DATE, "pair_rows", "ic_label", "ic_pred_rank", "partial_ic")
+    defined = (F.abs("ic_pred_rank") < 0.999999) & (F.abs("ic_label_pred") < 0.999999)
+    daily = daily.withColumn("partial_ic", F.when(defined, D.partial_correlation("ic_label", "ic_pred_rank", "ic_label_pred")))
+    return shown(daily, "fold", "region", "feature", DATE, "pair_rows", "ic_label", "ic_pred_rank", "ic_label_pred", "partial_ic")
 
 
 MEANS_SQL = STUDY_SQL + """, means AS (SELECT fold, region, feature, avg(ic_residual) AS mean_ic, count(ic_residual) AS finite_days, count(DISTINCT trade_date) AS days

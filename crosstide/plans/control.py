@@ -106,34 +106,34 @@ def u05(spark, d):
 SELECT_SQL = """, chosen_rows AS (SELECT * FROM scores WHERE fold IN ({folds})),
   candidates AS (SELECT model, alpha, exit_fraction, avg(final_score) AS mean_score, min(final_score) AS worst_score,
     avg(mean_turnover) AS mean_turnover FROM chosen_rows GROUP BY model, alpha, exit_fraction),
-  selected AS (SELECT * FROM candidates WHERE model = 'a' ORDER BY mean_score DESC, worst_score DESC, mean_turnover, alpha DESC, exit_fraction LIMIT 1)"""
+  selected AS (SELECT * FROM candidates QUALIFY row_number() OVER (PARTITION BY model ORDER BY mean_score DESC, worst_score DESC, mean_turnover, alpha DESC, exit_fraction) = 1)"""
 _CHOICE = ("mean_score", "worst_score", "mean_turnover")
 
 
 @query("u06_grid_selection", GRID_SQL + SELECT_SQL.format(folds="'F1', 'F2', 'F3'") + f" SELECT model, alpha, exit_fraction, {S.rounded(*_CHOICE)} FROM selected")
 def u06(spark, d):
-    return shown(L.select_grid_point(grid_scores(spark, d).filter("model = 'a'"), ["model"]))
+    return shown(L.select_grid_point(grid_scores(spark, d), ["model"]))
 
 
 @query("u07_selection_folds", GRID_SQL + SELECT_SQL.format(folds="'F1', 'F2'") + f" SELECT model, alpha, exit_fraction, {S.rounded(*_CHOICE)} FROM selected")
 def u07(spark, d):
     # Scored once: the completeness check and the selection both read the stored score rows.
     from crosstide.functions.groups import pinned
-    scores = pinned(grid_scores(spark, d).filter("model = 'a'"))
+    scores = pinned(grid_scores(spark, d))
     return shown(L.select_grid_point(L.require_folds(scores, ["F1", "F2"]), ["model"]))
 
 
 @query("u13_grid_boundary", GRID_SQL + SELECT_SQL.format(folds="'F1', 'F2', 'F3'") + """ SELECT model, alpha, exit_fraction,
   alpha IN (0.3, 0.6) AS alpha_on_boundary, exit_fraction IN (0.15, 0.25) AS exit_on_boundary FROM selected""")
 def u13(spark, d):
-    best = L.select_grid_point(grid_scores(spark, d).filter("model = 'a'"), ["model"])
+    best = L.select_grid_point(grid_scores(spark, d), ["model"])
     return L.grid_boundary(best, ALPHAS, EXITS).select("model", "alpha", "exit_fraction", "alpha_on_boundary", "exit_on_boundary")
 
 
-@query("a24_metric_surface", GRID_SQL + """ SELECT alpha, round(avg(final_score) FILTER (exit_fraction = 0.15), 6) + 0.0 AS exit_150,
-  round(avg(final_score) FILTER (exit_fraction = 0.25), 6) + 0.0 AS exit_250 FROM scores GROUP BY alpha""")
+@query("a24_metric_surface", GRID_SQL + """ SELECT model, alpha, round(avg(final_score) FILTER (exit_fraction = 0.15), 6) + 0.0 AS exit_150,
+  round(avg(final_score) FILTER (exit_fraction = 0.25), 6) + 0.0 AS exit_250 FROM scores WHERE fold IN ('F1', 'F2') GROUP BY model, alpha""")
 def a24(spark, d):
-    return shown(L.metric_surface(grid_scores(spark, d), EXITS))
+    return shown(L.metric_surface(grid_scores(spark, d).filter("fold IN ('F1', 'F2')"), EXITS, by=["model"]))
 
 
 BLEND_RANKS = P.WIDE + f""", ranked AS (SELECT *, {S.pct('pred_a', 'fold, trade_date')} AS rank_a, {S.pct('pred_b', 'fold, trade_date')} AS rank_b FROM wide),

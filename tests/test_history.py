@@ -130,3 +130,19 @@ def test_scalar_restatement_of_window_columns(spark):
     }
     for name, value in expected.items():
         assert np.isclose(out[name], value, rtol=1e-8), name
+
+
+def test_large_value_leaves_no_trace(spark):
+    """Rows past a window are bit for bit the same with and without a spike in an early row."""
+    from crosstide.operators.history import history_features
+    names = ["stdret_5", "stdret_20", "madev_20", "volratio_20", "amtratio_5", "corr_ret_dlogvol_20", "logvol_std_20", "atr_14", "gkvol_20"]
+    names = [n for n in names if n in catalog.CATEGORY]
+    plain = walk(n=85)
+    spiked = plain.copy()
+    spiked.loc[3, ["open", "high", "low", "close"]] *= 1e5
+    spiked.loc[3, "amount"] = 1e16
+    a, b = (history_features(panel(spark, f), names, keep=KEYS).orderBy(*KEYS).toPandas() for f in (plain, spiked))
+    assert len(names) >= 5
+    pd.testing.assert_frame_equal(a.iloc[30:], b.iloc[30:], check_exact=True)
+    direct = plain["close"].pct_change().rolling(5).std(ddof=0)
+    np.testing.assert_allclose(b["stdret_5"].iloc[30:], direct.iloc[30:], rtol=1e-9)
