@@ -1,12 +1,13 @@
 """Mixing to target weights by iterative proportional fitting.
 
 Token counts are summed over cells (source, language, topic). Cell weights are raked in turn to the target share of each margin
-until all margins hold, by sums over the cell table alone; rounds are stored tables. A document's ratio is its cell's raked
+for `rounds` turns (the margin raked last holds exactly, the others ever closer), by sums over the cell table alone; every fourth turn is a
+stored table. A document's ratio is its cell's raked
 weight over the cell's tokens; it is sampled with probability min(1, fraction * ratio) by a hash of its id, and carries the weight
 fraction * ratio / probability, so weighted tokens meet the targets in expectation.
 
 Tokens are blank-separated words. Without a topic column the length band of the text stands in for a topic. Missing targets: the
-observed share to the power `flatten`, normalised over the margin. Targets that name absent values are spread over those present.
+observed share to the power `flatten`, normalised over the margin. Targets are normalised over the values that have tokens; a value they do not name gets none.
 Null texts have no tokens and ratio 0, hence are never sampled when their whole cell is empty; a document without tokens in a
 cell with tokens has the cell's ratio. A null source, language or topic is a value of its own ('' after a null mark). A null id hashes
 like the text 'null'. Repeated rows share their fate. An empty table gives none."""
@@ -20,7 +21,7 @@ from pyspark.sql.window import Window
 from crosstide.llm.common import Scratch
 
 MARGINS = ("source", "lang", "topic")
-FRACTION, FLATTEN, ROUNDS, TOLERANCE = 0.5, 0.7, 12, 0.0
+FRACTION, FLATTEN, ROUNDS = 0.5, 0.7, 12
 BANDS = ((64, "short"), (512, "medium"), (2048, "long"))
 
 
@@ -36,9 +37,8 @@ def with_margins(docs: DataFrame, topic: str | None = None) -> DataFrame:
     return docs.withColumns({"__source": value(F.col("source")), "__lang": value(F.col("lang")), "__topic": value(F.col(topic)) if topic else value(band)})
 
 
-def raked(scratch: Scratch, cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, flatten: float = FLATTEN, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+def raked(scratch: Scratch, cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, flatten: float = FLATTEN, rounds: int = ROUNDS) -> DataFrame:
     """Cells with the raked weight w (shares of all tokens). Each margin's goal is a share; raking multiplies by goal / sum."""
-    total = Window.partitionBy()  # over the margin's values, one row each
     for m in MARGINS:
         share = cells.groupBy(f"__{m}").agg(F.sum("__tokens").cast("double").alias("t")).filter("t > 0")
         given = (targets or {}).get(m)
@@ -48,12 +48,12 @@ def raked(scratch: Scratch, cells: DataFrame, targets: dict[str, dict[str, float
             goal = F.pow("t", F.lit(flatten))
         share = share.select(f"__{m}", goal.alias("g"))
         sums = share.agg(F.sum("g").alias("all"))
-        share = share.crossJoin(F.broadcast(sums)).select(f"__{m}", (F.col("g") / F.col("all")).alias(f"goal_{m}"))  # one row
+        share = share.crossJoin(F.broadcast(sums)).select(f"__{m}", F.coalesce(F.try_divide("g", "all"), F.lit(0.0)).alias(f"goal_{m}"))  # one row
         cells = cells.join(share, f"__{m}", "left")
     cells = scratch.table("goals", cells.filter("__tokens > 0").withColumn("w", F.col("__tokens").cast("double")))
     for turn in range(rounds):
         for m in MARGINS:
-            cells = cells.withColumn("w", F.col("w") * F.col(f"goal_{m}") / F.sum("w").over(Window.partitionBy(f"__{m}")))
+            cells = cells.withColumn("w", F.coalesce(F.try_divide(F.col("w") * F.col(f"goal_{m}"), F.sum("w").over(Window.partitionBy(f"__{m}"))), F.lit(0.0)))
         if turn % 4 == 3 or turn + 1 == rounds:
             cells = scratch.table(f"raked{turn}", cells)
     return cells
