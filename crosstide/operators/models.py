@@ -76,7 +76,11 @@ def validation_predictions(rows, features, make_estimator, target, keep):
 
     Fitting reads the rows several times: pass a stored table or ``pinned`` rows.
     """
-    ready, kept = prepared(rows, features)
+    return fold_predictions(*prepared(rows, features), features, make_estimator, target, keep)
+
+
+def fold_predictions(ready, kept, features, make_estimator, target, keep):
+    """As above, from prepared rows: sets of features can share one preparation."""
     parts = []
     for fold in sorted(kept):
         names = [f for f in features if f in kept[fold]]

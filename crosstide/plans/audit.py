@@ -350,7 +350,7 @@ def p13(spark, d):
     return Q.first_examples(tagged, "price_context", KEYS, 5)
 
 
-@query("p14_finite_predictions")
+@query("p14_finite_predictions", PREDS + " SELECT trade_date, count(pred_a) AS predictions FROM preds GROUP BY trade_date")
 def p14(spark, d):
     """Row counts per date after the finite-prediction assertion passed."""
     from crosstide.sources.files import require_present

@@ -384,11 +384,12 @@ def d21(spark, d):
     return shown(review_rows(bars(spark, d), chosen), *KEYS, "history_rows", "ret_1", "ret_5", "madev_5")
 
 
-@query("d22_prefix_invariance")
+@query("d22_prefix_invariance", S.panel() + f" SELECT unnest({list(catalog.ENTITY_FEATURES)}) AS feature, cells, 0::BIGINT AS differences "
+       "FROM (SELECT count(*) AS cells FROM bars WHERE trade_date < 20000101)")
 def d22(spark, d):
     """Feature cells of a truncated panel that differ from the full run (none may)."""
     from crosstide.operators.review import prefix_differences
-    return prefix_differences(bars(spark, d), 20000101, ["ret_5", "madev_20", "stdret_20", "volratio_5", "illiq_20"])
+    return prefix_differences(bars(spark, d), 20000101, list(catalog.ENTITY_FEATURES))
 
 
 @query("w28_missing_label_runs", TOPS_SQL + """, gone AS (SELECT t.model, t.fold, t.ts_code, t.trade_date, c.day FROM tops t JOIN cal c USING (model, fold, trade_date) WHERE y_ret_1d IS NULL),

@@ -116,6 +116,7 @@ def f04(spark, d):
     return folds.fold_summary(labelled(spark, d), FOLDS)
 
 
-@query("f05_fold_guard")
+@query("f05_fold_guard", S.panel() + f""", {S.FOLD_STEPS} SELECT fold, count(*) FILTER (role = 'train' AND NOT purged AND y_ret_1d IS NOT NULL) AS train_rows,
+  count(*) FILTER (role = 'valid') AS valid_rows FROM purged GROUP BY fold""")
 def f05(spark, d):
     return folds.check_folds(folds.fold_summary(labelled(spark, d), FOLDS)).select("fold", "train_rows", "valid_rows")

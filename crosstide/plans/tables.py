@@ -38,12 +38,13 @@ def both_splits(spark, d):
 
 
 # Scans and sinks.
-@query("s01_strict_csv")
+@query("s01_strict_csv", PANEL + f" SELECT {ROWS}, {', '.join(f'round({c}, 8) + 0.0 AS {c}' for c in (*SOURCES, LABEL))} FROM bars")
 def s01(spark, d):
     """The panel written as text and read back under the strict contract."""
     path = scratch(spark, "panel-csv")
     labelled(spark, d).select(*KEYS, *SOURCES, LABEL).write.csv(path, header=True)
-    return shown(files.read_panel_csv(spark, path, True))
+    back = files.read_panel_csv(spark, path, True)
+    return back.select(*KEYS, *[F.round(c, 8).alias(c) for c in (*SOURCES, LABEL)])  # a price has up to seven decimals
 
 
 @query("s02_pruned_scan", "SELECT l_suppkey, CAST(strftime(l_shipdate, '%Y%m%d') AS INTEGER) AS day, l_quantity FROM lineitem WHERE l_discount >= 0.1")
@@ -67,12 +68,12 @@ def _stored_predictions(spark, d):
     return df, files.read_predictions_csv(spark, path), path
 
 
-@query("s04_prediction_scan")
+@query("s04_prediction_scan", PREDS + f" SELECT {ROWS}, round(pred_a, 6) + 0.0 AS pred, {S.rounded(LABEL, 'flag_limit_up')} FROM preds")
 def s04(spark, d):
     return shown(_stored_predictions(spark, d)[1])
 
 
-@query("s05_prediction_sink")
+@query("s05_prediction_sink", PREDS + " SELECT count(*) AS rows, 0::BIGINT AS changed FROM preds")
 def s05(spark, d):
     """Rows that do not survive the text round trip bit by bit (none may)."""
     df, back, _ = _stored_predictions(spark, d)
@@ -82,15 +83,18 @@ def s05(spark, d):
         ~F.col("pred").eqNullSafe(F.col("_pred")) | ~F.col(LABEL).eqNullSafe(F.col("_label"))).alias("changed"))
 
 
-@query("s06_feature_sink")
+@query("s06_feature_sink", S.history(["ret_5"]) + """ SELECT CASE WHEN trade_date < 20010101 THEN 'train' ELSE 'test' END AS split,
+  CAST(trade_date // 10000 AS INTEGER) AS year, count(*) AS rows, count(ret_5) AS present FROM features GROUP BY ALL""")
 def s06(spark, d):
     path = scratch(spark, "features")
-    df = history_features(bars(spark, d), ["ret_1", "ret_5"])
+    df = history_features(bars(spark, d), catalog.ENTITY_FEATURES)
     files.write_features(df.withColumn("split", F.when(F.col(DATE) < SPLIT, "train").otherwise("test")), path)
     return spark.read.parquet(path).groupBy("split", "year").agg(F.count(F.lit(1)).alias("rows"), F.count("ret_5").alias("present"))
 
 
-@query("s07_experiment_log")
+@query("s07_experiment_log", PANEL + f""", {S.FOLD_STEPS}, counts AS (SELECT fold, count(*) FILTER (role = 'train' AND NOT purged AND y_ret_1d IS NOT NULL) AS train_rows,
+  count(*) FILTER (role = 'valid') AS valid_rows FROM purged GROUP BY fold)
+  SELECT 'identity' AS experiment, fold, 'done' AS status, train_rows, valid_rows, NULL::DOUBLE AS final_score FROM counts CROSS JOIN range(2)""")
 def s07(spark, d):
     from crosstide.operators.folds import fold_summary
     path = scratch(spark, "log")
@@ -102,7 +106,7 @@ def s07(spark, d):
     return spark.read.parquet(path)
 
 
-@query("s08_json_summary")
+@query("s08_json_summary", PANEL + " SELECT trade_date, count(*) AS rows, round(avg(y_ret_1d), 6) + 0.0 AS mean_label FROM bars GROUP BY trade_date")
 def s08(spark, d):
     path = scratch(spark, "summary")
     days = labelled(spark, d).groupBy(DATE).agg(F.count(F.lit(1)).alias("rows"), F.avg(LABEL).alias("mean_label"))
@@ -119,7 +123,7 @@ def s09(spark, d):
     return shown(named[0].unionByName(named[1]).unionByName(named[2]))
 
 
-@query("s10_submission")
+@query("s10_submission", PREDS + f" SELECT {ROWS}, round(pred_a, 6) + 0.0 AS pred FROM preds")
 def s10(spark, d):
     path = scratch(spark, "submission")
     df = predictions(spark, d).withColumn("pred", F.col("pred_a"))
@@ -138,12 +142,18 @@ def s12(spark, d):
     return files.fingerprint(panel.withColumn("year", F.floor(F.col(DATE) / 10000).cast("int")), [*KEYS, "vol", LABEL], ["year"])
 
 
-@query("s13_feature_catalog")
+_NEEDED = [(f.name, f.category, s) for f in catalog.FEATURES for s in f.depends_on]
+_NEEDED += [(new, "cross_section_rank", s) for s, new in catalog.rank_view_columns().items()]
+_NEEDED_SOURCES = list(dict.fromkeys(s for *_, s in _NEEDED))
+
+
+@query("s13_feature_catalog", S.history(_NEEDED_SOURCES) + ", listed AS (SELECT [" + ", ".join(f"count({s})" for s in _NEEDED_SOURCES) + "] AS n FROM features), "
+       f"counts AS (SELECT unnest({_NEEDED_SOURCES}) AS source, unnest(n) AS present FROM listed), "
+       f"needed(feature, family, source) AS (VALUES {', '.join(map(str, _NEEDED))}) SELECT feature, family, source, present FROM needed JOIN counts USING (source)")
 def s13(spark, d):
     """Catalog rows, their dependencies, and how many panel rows have each source feature."""
-    sources = ["ret_1", "ret_5", "ret_20", "madev_5", "volratio_5"]
-    df = history_features(bars(spark, d), sources)
-    counts = df.agg(F.array(*[F.struct(F.lit(s).alias("source"), F.count(s).alias("present")) for s in sources]).alias("_c"))
+    df = history_features(bars(spark, d), _NEEDED_SOURCES)
+    counts = df.agg(F.array(*[F.struct(F.lit(s).alias("source"), F.count(s).alias("present")) for s in _NEEDED_SOURCES]).alias("_c"))
     counts = counts.select(F.explode("_c").alias("_c")).select("_c.*")
     return catalog.dependency_table(spark).join(F.broadcast(counts), "source", "left")
 
@@ -333,7 +343,8 @@ def n03(spark, d):
                          F.array_contains(F.col("s")["l_partkey"], F.col("l_orderkey") % 100).alias("has_code"))
 
 
-@query("n04_nested_json")
+@query("n04_nested_json", PANEL + """, placed AS (SELECT *, row_number() OVER (PARTITION BY ts_code ORDER BY vol DESC, trade_date) AS k FROM bars)
+  SELECT ts_code, CAST(to_json(list({'trade_date': trade_date, 'vol': vol} ORDER BY trade_date, vol)) AS VARCHAR) AS samples FROM placed WHERE k <= 3 GROUP BY ts_code""")
 def n04(spark, d):
     panel = bars(spark, d).select(*KEYS, "vol", "flag_limit_up")
     top = F.row_number().over(Window.partitionBy(ENTITY).orderBy(F.desc("vol"), DATE))
@@ -350,7 +361,10 @@ def uf1(spark, d):
     return shown(out, *KEYS, "median_vol", "amount_range")
 
 
-@query("uf1_custom_group")
+@query("uf1_custom_group", PANEL + """, moves AS (SELECT ts_code, trade_date, coalesce(close > lag(close) OVER e, false) AS up FROM bars WINDOW e AS (PARTITION BY ts_code ORDER BY trade_date)),
+  islands AS (SELECT ts_code, up, sum(CASE WHEN up THEN 0 ELSE 1 END) OVER (PARTITION BY ts_code ORDER BY trade_date ROWS UNBOUNDED PRECEDING) AS island FROM moves),
+  rises AS (SELECT ts_code, island, count(*) FILTER (up) AS n FROM islands GROUP BY ALL)
+  SELECT ts_code, max(n) AS longest FROM rises GROUP BY ts_code""")
 def uf1_custom(spark, d):
     """Longest rise of each entity with pandas code; a group is one entity, one row per date."""
     def longest_rise(frame):
