@@ -7,11 +7,13 @@ cuts beyond that.
 """
 
 import math
+import uuid
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from crosstide.functions.groups import checkpoint_folder, measure, pinned, row_limit, with_positions
 from crosstide.operators.cross import percent_ranks
@@ -44,14 +46,14 @@ def _smoother(alphas, value, keys, has_prior):
     return smooth
 
 
-def causal_ema(df, alphas, run=(), value="rank", prior=None):
-    """Smoothed value per run, entity, date and alpha.
+def causal_ema(df, alphas, run=(), value="rank", prior=None, keep=()):
+    """Smoothed value per run, entity, date and alpha, beside the columns named in ``keep``.
 
     ``prior`` optionally gives each entity's last smoothed value from earlier dates.
     """
     if any(not 0 < a <= 1 for a in alphas):
         raise ValueError("alpha must be in (0, 1]")
-    keys = [*run, *KEYS]
+    keys = [*run, *KEYS, *keep]
     rows = df.select(*keys, value)
     if prior is not None:
         rows = rows.join(prior.select(*run, ENTITY, F.col("smooth").alias("prior")), [*run, ENTITY], "left")
@@ -118,28 +120,34 @@ def hysteresis_sets(band, run=(), group_rows=None):
 def _sets_by_date(band, run):
     """The same walk with one distributed cut per date: members first, then the best of the rest.
 
-    One row per date reaches the driver; members stay in checkpointed tables.
+    The band is stored by date, so a turn reads one date of it and the members of the turn before.
+    A stretch's members are dropped after its last date.  Only the list of dates reaches the driver.
     """
     spark, group = band.sparkSession, [*run, "exit_fraction", "stretch"]
-    band = pinned(band.select(*group, *KEYS, "place", "top_size"))
-    folder = f"{checkpoint_folder(spark)}/sets-{spark.sparkContext.applicationId}-{id(band)}"
-    held, keys = None, [*run, "exit_fraction", *KEYS]
-    for row in band.select(DATE).distinct().orderBy(DATE).toLocalIterator():
-        day = band.filter(F.col(DATE) == row[DATE])
-        if held is None:
-            day = day.withColumn("_stay", F.lit(0))
-        else:
-            day = day.join(held, [*group, ENTITY], "left").fillna({"_stay": 0})
-        cut = with_positions(day, group, [F.col("_stay").desc(), F.col("place").asc()])
-        chosen = cut.filter(F.col("_before") < F.col("top_size"))
-        chosen.select(*keys, "stretch").drop(DATE).write.parquet(f"{folder}/{DATE}={row[DATE]}")
-        today = spark.read.parquet(f"{folder}/{DATE}={row[DATE]}")
-        # A run without a band on this date keeps its members only through its own stretch.
-        seen = day.select(*group).distinct()
-        older = None if held is None else held.join(seen, group, "left_anti")
-        held = today.select(*group, ENTITY, F.lit(1).alias("_stay"))
-        held = held if older is None else pinned(held.unionByName(older))
-    return spark.read.parquet(folder).select(*keys)
+    rows = pinned(band.select(*group, *KEYS, "place", "top_size"))
+    days = [r[0] for r in rows.select(DATE).distinct().orderBy(DATE).collect()]
+    keys = [*run, "exit_fraction", *KEYS]
+    if not days:
+        return rows.select(*keys)
+    root, sizes = f"{checkpoint_folder(spark)}/sets-{uuid.uuid4().hex}", measure(rows, [*group, DATE])
+    rows = rows.join(rows.groupBy(*group).agg(F.max(DATE).alias("_last")), group)
+    rows.withColumn("_part", F.pmod(F.hash(ENTITY), F.lit(8))).repartition(DATE, "_part").drop("_part").write.partitionBy(
+        DATE).parquet(f"{root}/band")
+    stored = rows.drop(DATE).schema
+    held = None
+    for date in days:
+        day = spark.read.schema(stored).parquet(f"{root}/band/{DATE}={date}")
+        stay = F.lit(0) if held is None else F.coalesce("_stay", F.lit(0))
+        seen = day if held is None else day.join(held.select(*group, ENTITY, F.lit(1).alias("_stay")), [*group, ENTITY], "left")
+        cut = with_positions(seen.withColumn("_stay", stay), group, [F.col("_stay").desc(), F.col("place").asc()], sizes)
+        members = cut.filter(F.col("_before") < F.col("top_size")).select(*group, ENTITY, "_last", F.lit(True).alias("_chosen"))
+        if held is not None:
+            # A run without a band on this date keeps its members through its own stretch.
+            older = held.filter(F.col("_last") > date).join(day.select(*group).distinct(), group, "left_anti")
+            members = members.unionByName(older.withColumn("_chosen", F.lit(False)))
+        members.write.parquet(f"{root}/sets/{DATE}={date}")
+        held = spark.read.schema(members.schema).parquet(f"{root}/sets/{DATE}={date}")
+    return spark.read.schema(StructType([*members.schema, rows.schema[DATE]])).parquet(f"{root}/sets").filter("_chosen").select(*keys)
 
 
 def ordinal_predictions(df, sets, run=(), sizes=None):
@@ -159,12 +167,11 @@ def controlled_predictions(df, alphas, exits, run=(), min_pool=100, sizes=None,
     sizes = sizes or measure(df, [*run, DATE])
     per_run = measure(df, run) if run else measure(df, [])
     ranked = df.withColumnRenamed(rank, "rank") if rank else daily_rank(df, run, sizes)
-    kept = [c for c in df.columns if c not in {"pred", rank}]
-    smooth = causal_ema(ranked, alphas, run)
-    smooth = smooth.join(ranked.select(*kept), [*run, *KEYS])
+    kept = [c for c in df.columns if c not in {"pred", rank, *run, *KEYS}]
+    smooth = pinned(causal_ema(ranked, alphas, run, keep=kept))
     grid = [*run, "alpha"]
     band = exit_band(smooth, exits, grid, min_pool, sizes)
-    bound = math.ceil(per_run.largest * max(max(exits), 0.1)) + per_run.groups
+    bound = math.ceil(per_run.largest * max(max(exits), 0.1)) + sizes.groups
     sets = hysteresis_sets(band, grid, bound)
     points = smooth.withColumn("exit_fraction", F.explode(F.array(*[F.lit(float(e)) for e in exits])))
     return ordinal_predictions(points, sets, [*grid, "exit_fraction"], sizes)

@@ -11,7 +11,8 @@ from crosstide.plans.registry import date_sizes, query, shown
 from crosstide.plans.runs import METRICS, OFFICIAL_HERE, RUN
 from crosstide.schema import DATE, ENTITY, KEYS, LABEL
 
-ALPHAS, EXITS = (0.3, 0.6), (0.15, 0.25)
+# The declared grid of smoothing weights and exit fractions.
+ALPHAS, EXITS = (1.0, 0.9, 0.8, 0.7, 0.6, 0.5), (0.1, 0.125, 0.15)
 POINT = [*RUN, "alpha", "exit_fraction"]
 ROWS = "ts_code, trade_date"
 POOL = OFFICIAL_HERE.min_pool
@@ -60,17 +61,25 @@ def controlled(spark, d, alphas=ALPHAS, exits=EXITS):
     return U.controlled_predictions(P.runs(spark, d), alphas, exits, RUN, POOL, date_sizes(spark, d))
 
 
-@query("u01_causal_ema", smoothing_sql() + f" SELECT model, fold, alpha, {ROWS}, {S.rounded('smooth')} FROM sm")
+# Millionths by the same double steps in both engines: halving weights hit decimal ties, which their round functions settle unlike.
+MILLIONTHS = "floor(smooth * 1000000 + 0.5::DOUBLE)"
+
+
+def millionths():
+    return F.floor(F.col("smooth") * 1000000 + 0.5)
+
+
+@query("u01_causal_ema", smoothing_sql() + f" SELECT model, fold, alpha, {ROWS}, {MILLIONTHS} / 1000000 AS smooth FROM sm")
 def u01(spark, d):
     ranked = U.daily_rank(P.runs(spark, d), RUN, date_sizes(spark, d))
-    return shown(U.causal_ema(ranked, ALPHAS, RUN), *RUN, "alpha", *KEYS, "smooth")
+    return U.causal_ema(ranked, ALPHAS, RUN).select(*RUN, "alpha", *KEYS, (millionths() / 1000000).alias("smooth"))
 
 
 @query("u02_hysteresis_sets", control_sql() + f" SELECT model, fold, alpha, exit_fraction, {ROWS} FROM sets")
 def u02(spark, d):
     sizes, df = date_sizes(spark, d), P.runs(spark, d)
     ranked = U.daily_rank(df, RUN, sizes)
-    smooth = U.causal_ema(ranked, ALPHAS, RUN).join(ranked.select(*RUN, *KEYS, "flag_limit_up"), [*RUN, *KEYS])
+    smooth = U.causal_ema(ranked, ALPHAS, RUN, keep=["flag_limit_up"])
     band = U.exit_band(smooth, EXITS, [*RUN, "alpha"], POOL, sizes)
     return U.hysteresis_sets(band, [*RUN, "alpha"]).select(*POINT, *KEYS)
 
@@ -81,12 +90,12 @@ def u03(spark, d):
 
 
 @query("u04_full_control", control_sql() + f" SELECT model, fold, alpha, exit_fraction, trade_date, count(*) AS rows, "
-       "count(*) FILTER (selected) AS chosen, round(sum(pred * smooth), 4) + 0.0 AS weighted FROM controlled GROUP BY ALL")
+       f"count(*) FILTER (selected) AS chosen, CAST(sum(CAST(pred * {MILLIONTHS} AS BIGINT)) AS BIGINT) AS weighted FROM controlled GROUP BY ALL")
 def u04(spark, d):
     from crosstide.functions.guards import count_true
     days = controlled(spark, d).groupBy(*POINT, DATE).agg(
         F.count(F.lit(1)).alias("rows"), count_true(F.col("selected")).alias("chosen"),
-        F.round(F.sum(F.col("pred") * F.col("smooth")), 4).alias("weighted"))
+        F.sum(F.col("pred").cast("long") * millionths()).alias("weighted"))
     return days
 
 
@@ -124,14 +133,14 @@ def u07(spark, d):
 
 
 @query("u13_grid_boundary", GRID_SQL + SELECT_SQL.format(folds="'F1', 'F2', 'F3'") + """ SELECT model, alpha, exit_fraction,
-  alpha IN (0.3, 0.6) AS alpha_on_boundary, exit_fraction IN (0.15, 0.25) AS exit_on_boundary FROM selected""")
+  alpha IN (0.5, 1.0) AS alpha_on_boundary, exit_fraction IN (0.1, 0.15) AS exit_on_boundary FROM selected""")
 def u13(spark, d):
     best = L.select_grid_point(grid_scores(spark, d), ["model"])
     return L.grid_boundary(best, ALPHAS, EXITS).select("model", "alpha", "exit_fraction", "alpha_on_boundary", "exit_on_boundary")
 
 
-@query("a24_metric_surface", GRID_SQL + """ SELECT model, alpha, round(avg(final_score) FILTER (exit_fraction = 0.15), 6) + 0.0 AS exit_150,
-  round(avg(final_score) FILTER (exit_fraction = 0.25), 6) + 0.0 AS exit_250 FROM scores WHERE fold IN ('F1', 'F2') GROUP BY model, alpha""")
+@query("a24_metric_surface", GRID_SQL + """ SELECT model, alpha, round(avg(final_score) FILTER (exit_fraction = 0.1), 6) + 0.0 AS exit_100,
+  round(avg(final_score) FILTER (exit_fraction = 0.125), 6) + 0.0 AS exit_125, round(avg(final_score) FILTER (exit_fraction = 0.15), 6) + 0.0 AS exit_150 FROM scores WHERE fold IN ('F1', 'F2') GROUP BY model, alpha""")
 def a24(spark, d):
     return shown(L.metric_surface(grid_scores(spark, d).filter("fold IN ('F1', 'F2')"), EXITS, by=["model"]))
 

@@ -61,6 +61,24 @@ def test_sets_equal_restatement(spark, limit):
     assert {d: set(g[ENTITY]) for d, g in out.groupby(DATE)} == expected
 
 
+def test_oversized_runs_keep_members_over_dates_they_lack(spark):
+    """Two runs with different calendars and several stretches give the same sets date by date as in one task."""
+    first, second = market(thin=(3, 8)), [r for r in market(seed=9, thin=(5,)) if r[1] not in dates(12)[2:4]]
+    df = predictions(spark, first).withColumn("model", F.lit("a")).unionByName(predictions(spark, second).withColumn("model", F.lit("b")))
+    smooth = U.causal_ema(U.daily_rank(df, ["model"]), [0.3, 1.0], ["model"], keep=["flag_limit_up"])
+    band = U.exit_band(smooth, [0.1, 0.25], ["model", "alpha"], 10)
+    plain = U.hysteresis_sets(band, ["model", "alpha"]).toPandas()
+    spark.conf.set(LIMIT_SETTING, "1")
+    try:
+        cut = U.hysteresis_sets(band, ["model", "alpha"]).toPandas()
+        empty = U.hysteresis_sets(band.filter("false"), ["model", "alpha"], 2).count()
+    finally:
+        spark.conf.unset(LIMIT_SETTING)
+    order = ["model", "alpha", "exit_fraction", *KEYS]
+    assert len(plain) and not empty
+    pd.testing.assert_frame_equal(*(x[order].sort_values(order).reset_index(drop=True) for x in (plain, cut)), check_dtype=False)
+
+
 def test_control_is_causal_and_unique(spark):
     rows = market()
     cut = dates(12)[8]
