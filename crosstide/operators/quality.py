@@ -194,7 +194,9 @@ def column_quantiles(df, columns, by=()):
     """Exact quantiles of each column, one row per column (and group)."""
     by = list(by)
     rows = df.groupBy(*by).count().agg(F.count(F.lit(1)), F.max("count")).first()
-    sizes = GroupSizes(rows[0], rows[1] or 0, row_limit(df.sparkSession))
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    columns_a_task = -(-len(columns) * max(rows[0], 1) // width)  # a task holds the values of this many groups at once
+    sizes = GroupSizes(rows[0], rows[1] or 0, row_limit(df.sparkSession)).scaled(columns_a_task)
     cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("value")) for c in columns]))
     long = df.select(*by, cells.alias("_c")).select(*by, "_c.*")
     found = group_quantiles(long, [*by, "column_name"], "value", QUANTILE_POINTS, sizes)

@@ -148,7 +148,7 @@ def a11(spark, d):
     return Q.label_patterns(labelled(spark, d))
 
 
-_PROFILED = ["ret_1", "kmid", "madev_20", "stdret_20", "volratio_5", "amtratio_20", "gap_open"]
+_PROFILED = list(catalog.BASIC)
 
 
 @query("a12_exact_quantiles", S.history(_PROFILED) + " " + " UNION ALL ".join(
