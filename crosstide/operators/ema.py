@@ -16,17 +16,18 @@ from crosstide.schema import DATE, ENTITY
 SPAN_OF_EPOCH = 250.0
 
 
-def ewm_means(df, value, spans, entity=ENTITY, date=DATE, seed=None):
+def ewm_means(df, value, spans, entity=ENTITY, date=DATE, seed=None, position=None):
     """Add ``_ema_<span>`` for every span, and ``_seen``, the number of present values so far.
 
     ``seed`` optionally names, per span, a column whose value replaces the entity's first
-    present value: the mean carried over from earlier rows.
+    present value: the mean carried over from earlier rows.  ``position`` names a column with the
+    row's number among all rows of its entity, where some of them are not in ``df``.
     """
     rows = Window.partitionBy(entity).orderBy(date)
     before = rows.rowsBetween(Window.unboundedPreceding, -1)
     upto = rows.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     x = F.col(value)
-    df = df.withColumns({"_row": F.row_number().over(rows), "_seen": F.count(x).over(upto)})
+    df = df.withColumns({"_row": F.row_number().over(rows) if position is None else F.col(position), "_seen": F.count(x).over(upto)})
     df = df.withColumn("_gap", F.col("_row") - F.last(F.when(x.isNotNull(), F.col("_row")), ignorenulls=True).over(before))
     logs, starts = {}, F.col("_gap").isNull()
     for span in spans:
@@ -56,9 +57,9 @@ def ewm_means(df, value, spans, entity=ENTITY, date=DATE, seed=None):
     return df.drop(*spent)
 
 
-def ema_deviation(df, spans, value="close", seed=None, seen_before=None):
+def ema_deviation(df, spans, value="close", seed=None, seen_before=None, position=None):
     """``emadev_<span>``: value over its moving mean, minus 1, once ``span`` values were seen."""
-    means = ewm_means(df, value, spans, seed=seed)
+    means = ewm_means(df, value, spans, seed=seed, position=position)
     seen = F.col("_seen") if seen_before is None else F.col("_seen") + F.col(seen_before)
     return means.withColumns({
         f"emadev_{s}": F.when(seen >= s, ratio(value, f"_ema_{s}") - 1) for s in spans})

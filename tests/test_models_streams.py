@@ -57,22 +57,24 @@ def test_streamed_features_equal_batch_with_long_gaps(spark, tmp_path):
     found = collected(spark.read.parquet(out).select(*KEYS, *names))
     expected = collected(history_features(panel(spark, frame), names))
     pd.testing.assert_frame_equal(found, expected, rtol=1e-9, check_dtype=False)
+    # 86 rows without a price before batch 3: the tail holds its bound and the last priced row.
+    assert spark.read.parquet(str(tmp_path / "tails" / "batch=2")).count() == T.TAIL_ROWS + 1
 
 
 def test_late_rows_are_dropped_and_counted(spark, tmp_path):
     frame = walk(n=30)
     path, out = str(tmp_path / "in"), str(tmp_path / "out")
     arrivals(spark, frame, [0, 20], path)
-    panel(spark, pd.concat([frame.iloc[5:7], frame.iloc[20:30]])).coalesce(1).write.mode("append").parquet(path)
+    panel(spark, pd.concat([frame.iloc[5:7], frame.iloc[20:30], frame.iloc[25:26]])).coalesce(1).write.mode("append").parquet(path)
     sink = T.FeatureStream(["ret_1"], out, str(tmp_path / "tails"), str(tmp_path / "late"))
     schema = panel(spark, frame).schema
     T.run_to_end(T.stream_of(spark, path, schema, 1).writeStream.foreachBatch(sink), str(tmp_path / "state"))
     assert spark.read.parquet(out).count() == 30
-    assert spark.read.parquet(str(tmp_path / "late")).first()["late_rows"] == 2
+    assert spark.read.parquet(str(tmp_path / "late")).first()["late_rows"] == 3
     ranked = T.causal_ema_stream(T.stream_of(spark, path, schema, 1).withColumn("rank", F.col("close")), 0.3)
     ema = str(tmp_path / "ema")
     T.run_to_end(ranked.writeStream.outputMode("append").format("parquet").option("path", ema), str(tmp_path / "state2"))
     rows = spark.read.parquet(ema).orderBy(DATE).toPandas()
     expected = frame.close.ewm(alpha=0.3, adjust=False).mean()
     np.testing.assert_allclose(rows.smooth, expected, rtol=1e-12)
-    assert rows.late_rows.iloc[-1] == 2
+    assert rows.late_rows.iloc[-1] == 3
