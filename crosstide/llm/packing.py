@@ -1,12 +1,16 @@
 """Lexical retrieval packing into fixed windows of tokens.
 
-Documents are taken in shards: consecutive rows of one input partition, at most `shard_docs` rows and about `shard_bytes` bytes.
-Each shard has its own inverted index: postings of token ids with BM25 weights from the shard's document frequencies. Packing
-runs through the shard: a seed document opens a window, the index is asked with the seed's strongest terms, and the unused
-documents with the best scores follow until the window is full (the next unused one in order, when none scores). Windows are
-cut from that stream, so every window but a shard's last is full. The last, shorter rest becomes windows of powers of two
-tokens, which need no padding. Nothing is shuffled; the index of a shard bounds memory; repartition the input by topic, language
-or host beforehand to widen what the index can retrieve.
+Documents are encoded once and stored. Document frequencies, the number of documents and their mean length are taken over all
+rows. Rows are then sent to shards by content: a hashed sample of at most `pivots` rows stands for the table, each row asks this
+sample with all its terms, and rows are range-partitioned and sorted by their best pivot (similar pivots lie side by side), their
+second best and their row number. So related documents of the whole table meet, and a hot pivot is split by the columns behind it.
+A shard is a run of that order: at most `shard_docs` rows and about `shard_bytes` bytes of ids, across Arrow batches.
+
+Each shard has its own postings, with BM25 weights from the frequencies of the whole table. Packing runs through the shard: a seed
+document opens a window, the index is asked with all the seed's terms (or its `query_terms` strongest), and the unused documents
+with the best scores follow until the window is full (the next unused one in order, when none scores). Windows are cut from that
+stream, so every window but a shard's last is full. The last, shorter rest becomes windows of powers of two tokens, which need no
+padding. A neighbour that lies in another shard is not found; `README.md` gives the measured share.
 
 Null texts are empty and consist of the end id alone. Repeated rows are packed each; a null id is carried as null. An empty
 table gives no row. Columns other than doc_id and text are not read. sequence_id = partition * 2^33 + number in the partition."""
@@ -14,6 +18,7 @@ table gives no row. Columns other than doc_id and text are not read. sequence_id
 from __future__ import annotations
 
 import zlib
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -21,44 +26,61 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crosstide.llm import tokens
-from crosstide.llm.common import cuts, text_bytes
+from crosstide.llm.common import Scratch, text_bytes
 
-WINDOW, SHARD_DOCS, SHARD_BYTES, QUERY_TERMS = 1024, 2048, 8 << 20, 16
+WINDOW, SHARD_DOCS, SHARD_BYTES, PIVOTS, PIVOT_TOKENS = 1024, 2048, 8 << 20, 1024, 4096
 K1, B = 1.2, 0.75
 
 
+class Whole(NamedTuple):
+    """Counts over all rows: documents, their mean length, and the document frequency of each id."""
+
+    n: int
+    mean: float
+    df: np.ndarray
+
+
 class Index:
-    """Inverted index of one shard. docs: an array of token ids for each document."""
+    """Inverted index of one shard. docs: an array of token ids for each document; whole: counts to weigh with (missing: the shard's own)."""
 
-    def __init__(self, docs: list[np.ndarray], query_terms: int = QUERY_TERMS):
-        n, lengths = len(docs), np.array([len(d) for d in docs])
+    def __init__(self, docs: list[np.ndarray], query_terms: int | None = None, whole: Whole | None = None):
+        n, lengths = len(docs), np.array([len(d) for d in docs], np.int64)
         owner = np.repeat(np.arange(n), lengths)
         pairs, tf = np.unique(np.concatenate(docs).astype(np.int64) * n + owner if n else np.zeros(0, np.int64), return_counts=True)
         term, self.doc = pairs // max(n, 1), pairs % max(n, 1)
         change = np.flatnonzero(np.concatenate(([True], term[1:] != term[:-1]))) if len(term) else np.zeros(0, np.int64)
-        self.first = np.append(change, len(term))
+        self.first, self.term = np.append(change, len(term)), term[change]
         df = np.diff(self.first)
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
+        whole = whole or Whole(n, lengths.mean() if n else 0, np.bincount(self.term, df, self.term.max(initial=-1) + 1))
+        idf = np.log1p((whole.n - whole.df[self.term] + 0.5) / (whole.df[self.term] + 0.5))
         row = np.repeat(np.arange(len(df)), df)
-        norm = K1 * (1 - B + B * lengths / max(lengths.mean(), 1)) if n else lengths
+        norm = K1 * (1 - B + B * lengths / max(whole.mean, 1)) if n else lengths
         self.weight = idf[row] * tf * (K1 + 1) / (tf + norm[self.doc])
         self.n, useful = n, np.flatnonzero(df[row] > 1)  # a term of one document retrieves nothing else
-        order = useful[np.lexsort((row[useful], -self.weight[useful], self.doc[useful]))]
+        order = useful[np.lexsort((row[useful], -self.weight[useful], self.doc[useful]))] if query_terms else useful[np.argsort(self.doc[useful], kind="stable")]
         of = self.doc[order]
         start = np.searchsorted(of, np.arange(n + 1))
-        self.terms = [row[order[a:min(b, a + query_terms)]] for a, b in zip(start[:-1], start[1:], strict=True)]
+        self.terms = [row[order[a:min(b, a + query_terms) if query_terms else b]] for a, b in zip(start[:-1], start[1:], strict=True)]
+
+    def of(self, terms: np.ndarray) -> np.ndarray:
+        """BM25 scores of all documents for distinct terms, by number."""
+        spans = [slice(a, b) for a, b in zip(self.first[terms].tolist(), self.first[terms + 1].tolist(), strict=True)]
+        return np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.n) if spans else np.zeros(self.n)
 
     def scores(self, seed: int) -> np.ndarray:
-        """BM25 scores of all documents for the strongest terms of the seed."""
-        if not len(self.terms[seed]):
-            return np.zeros(self.n)
-        spans = [slice(self.first[t], self.first[t + 1]) for t in self.terms[seed]]
-        return np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.n)
+        """BM25 scores of all documents for the terms of the seed."""
+        return self.of(self.terms[seed])
+
+    def asked(self, ids: np.ndarray) -> np.ndarray:
+        """BM25 scores of all documents for any text's ids."""
+        ids = np.unique(ids)
+        at = np.minimum(np.searchsorted(self.term, ids), max(len(self.term) - 1, 0))
+        return self.of(at[self.term[at] == ids] if len(self.term) else at[:0])
 
 
-def order_of(docs: list[np.ndarray], window: int = WINDOW, query_terms: int = QUERY_TERMS) -> list[int]:
+def order_of(docs: list[np.ndarray], window: int = WINDOW, query_terms: int | None = None, whole: Whole | None = None) -> list[int]:
     """The order in which the documents are laid into windows."""
-    index, used, order, filled, following = Index(docs, query_terms), np.zeros(len(docs), bool), [], 0, 0
+    index, used, order, filled, following = Index(docs, query_terms, whole), np.zeros(len(docs), bool), [], 0, 0
     while len(order) < len(docs):
         if filled % window == 0 or not order:
             while used[following]:
@@ -116,8 +138,8 @@ def pieces_of(lengths: list[int], order: list[int], window: int = WINDOW) -> lis
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def pack(docs: DataFrame, window: int = WINDOW, shard_docs: int = SHARD_DOCS, shard_bytes: int = SHARD_BYTES, query_terms: int = QUERY_TERMS, with_ids: bool = False) -> DataFrame:
-    """One row per piece; with_ids adds the piece's ids as little-endian unsigned 32-bit integers."""
+def encoded(docs: DataFrame) -> DataFrame:
+    """(doc_id, row, ids) of every row; store it before it is used twice, as row numbers follow the order of reading."""
     columns = [F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text")]
 
     def run(batches):
@@ -127,20 +149,108 @@ def pack(docs: DataFrame, window: int = WINDOW, shard_docs: int = SHARD_DOCS, sh
         encode, end = tokens.encoder(), np.zeros(1, np.uint32)
         for batch in batches:
             offsets, data = text_bytes(batch)
-            names = batch.column("doc_id").to_pylist()
-            for a, b in cuts(offsets, shard_bytes, shard_docs):
-                docs_ids = [np.concatenate((encode.encode_to_numpy(str(data[offsets[i]:offsets[i + 1]], "utf-8", "replace"), allowed_special="all"), end)).astype("<u4") for i in range(a, b)]
-                lengths = [len(d) for d in docs_ids]
-                found = pieces_of(lengths, order_of(docs_ids, window, query_terms), window)
-                doc, start, length, at, offset = (np.array(x, np.int64) for x in zip(*found, strict=True))
-                raw = [docs_ids[d][s:s + n].tobytes() for d, s, n, _, _ in found]
-                columns = {
-                    "doc_id": pa.array([names[a + d] for d in doc], pa.int64()), "start": start, "length": length,
-                    "ids_crc32": pa.array([zlib.crc32(x) for x in raw], pa.int64()), "doc_tokens": np.array(lengths, np.int64)[doc],
-                    "sequence_id": number + at, "offset": offset}
-                if with_ids:
-                    columns["ids"] = pa.array(raw, pa.binary())
-                yield pa.RecordBatch.from_pydict(columns)
-                number += int(at[-1]) + 1
-
-    return docs.select(*columns).mapInArrow(run, PIECES + (", ids binary" if with_ids else ""))
+            for a in range(0, len(batch), 256):
+                part = offsets[a:a + 257]
+                raw = [np.concatenate((encode.encode_to_numpy(str(data[x:y], "utf-8", "replace"), allowed_special="all"), end)).astype("<u4").tobytes() for x, y in zip(part[:-1], part[1:], strict=True)]
+                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id")[a:a + len(raw)], "row": np.arange(number, number + len(raw)), "ids": pa.array(raw, pa.binary())})
+                number += len(raw)
+
+    return docs.select(*columns).mapInArrow(run, "doc_id long, row long, ids binary")
+
+
+def rows_of(batch: pa.RecordBatch) -> list[np.ndarray]:
+    offsets, data = text_bytes(batch, "ids")
+    return [np.frombuffer(data[a:b], "<u4") for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+
+
+def counted(rows: DataFrame) -> Whole:
+    """Counts over all encoded rows. Only sums by id reach the driver: as many rows as the vocabulary has ids."""
+    def run(batches):
+        df, n, total = np.zeros(1 << 16, np.int64), 0, 0
+        for batch in batches:
+            for ids in rows_of(batch):
+                distinct = np.unique(ids)
+                if len(distinct) and distinct[-1] >= len(df):
+                    df = np.append(df, np.zeros(int(distinct[-1]) + 1 - len(df), np.int64))
+                df[distinct] += 1
+                n, total = n + 1, total + len(ids)
+        found = np.flatnonzero(df)
+        yield pa.RecordBatch.from_pydict({"term": np.append(found, [-1, -2]), "df": np.append(df[found], [n, total])})
+
+    sums = {r.term: int(r.df) for r in rows.select("ids").mapInArrow(run, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect()}
+    n, total = sums.pop(-1, 0), sums.pop(-2, 0)
+    df = np.zeros(max(sums, default=-1) + 1, np.int64)
+    df[list(sums)] = list(sums.values())
+    return Whole(n, total / max(n, 1), df)
+
+
+def by_content(scratch: Scratch, rows: DataFrame, whole: Whole, pivots: int = PIVOTS) -> DataFrame:
+    """Encoded rows in the order of their best pivots, range-partitioned."""
+    mark = F.xxhash64("row")  # distinct for distinct rows
+    last = rows.select(mark.alias("mark")).orderBy("mark").limit(pivots).agg(F.max("mark")).first()[0]
+    sample = rows.filter(mark <= F.lit(last)).orderBy(mark).select("row", F.expr(f"substring(ids, 1, {4 * PIVOT_TOKENS})").alias("ids")).collect()
+    texts = [np.frombuffer(r.ids, "<u4") for r in sample]
+    index = Index(texts, whole=whole)
+    heads = max(1, len(texts) // 16)  # pivots are laid out by the best of the first few
+    head = [int(index.asked(t)[:heads].argmax()) for t in texts]
+    place = np.empty(len(texts), np.int32)
+    place[np.lexsort((np.arange(len(texts)), head))] = np.arange(len(texts), dtype=np.int32)
+    del index.terms, texts
+
+    def run(batches):
+        for batch in batches:
+            best = np.zeros((len(batch), 2), np.int32)
+            for k, ids in enumerate(rows_of(batch)):
+                score = index.asked(ids)
+                best[k, 0] = score.argmax()
+                score[best[k, 0]] = -1
+                best[k, 1] = score.argmax()
+            near = place[best]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near[:, 0]), pa.array(near[:, 1])], [*batch.schema.names, "near", "next"])
+
+    placed = scratch.table("placed", rows.mapInArrow(run, "doc_id long, row long, ids binary, near int, next int"))
+    scratch.drop("encoded")
+    width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return placed.repartitionByRange(width, "near", "next", "row").sortWithinPartitions("near", "next", "row").select("doc_id", "ids")
+
+
+def shards(batches, shard_docs: int = SHARD_DOCS, shard_bytes: int = SHARD_BYTES):
+    """(doc_ids, ids) of each shard: consecutive rows, also across batches."""
+    names, docs, held = [], [], 0
+    for batch in batches:
+        for name, ids in zip(batch.column("doc_id").to_pylist(), rows_of(batch), strict=True):
+            if docs and (len(docs) == shard_docs or held + ids.nbytes > shard_bytes):
+                yield names, docs
+                names, docs, held = [], [], 0
+            names.append(name)
+            docs.append(ids.copy())
+            held += ids.nbytes
+    if docs:
+        yield names, docs
+
+
+def pack(docs: DataFrame, window: int = WINDOW, shard_docs: int = SHARD_DOCS, shard_bytes: int = SHARD_BYTES, query_terms: int | None = None, with_ids: bool = False, pivots: int = PIVOTS) -> DataFrame:
+    """One row per piece; with_ids adds the piece's ids as little-endian unsigned 32-bit integers."""
+    scratch = Scratch(docs.sparkSession)
+    rows = scratch.table("encoded", encoded(docs))
+    whole = counted(rows)
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 33
+        for names, docs_ids in shards(batches, shard_docs, shard_bytes):
+            lengths = [len(d) for d in docs_ids]
+            found = pieces_of(lengths, order_of(docs_ids, window, query_terms, whole), window)
+            doc, start, length, at, offset = (np.array(x, np.int64) for x in zip(*found, strict=True))
+            raw = [docs_ids[d][s:s + n].tobytes() for d, s, n, _, _ in found]
+            columns = {
+                "doc_id": pa.array([names[d] for d in doc], pa.int64()), "start": start, "length": length,
+                "ids_crc32": pa.array([zlib.crc32(x) for x in raw], pa.int64()), "doc_tokens": np.array(lengths, np.int64)[doc],
+                "sequence_id": number + at, "offset": offset}
+            if with_ids:
+                columns["ids"] = pa.array(raw, pa.binary())
+            yield pa.RecordBatch.from_pydict(columns)
+            number += int(at[-1]) + 1
+
+    return by_content(scratch, rows, whole, pivots).mapInArrow(run, PIECES + (", ids binary" if with_ids else ""))

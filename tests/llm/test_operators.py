@@ -94,6 +94,35 @@ def test_index_scores_are_bm25():
         np.testing.assert_allclose(index.scores(q), [sum(weight(t, d) for t in set(seed.tolist()) if df[t] > 1) for d in shard])
 
 
+def test_packing_finds_neighbours_of_other_partitions(spark):
+    rng = np.random.default_rng(5)
+    topics = [[f"t{k}{chr(97 + j)}{chr(97 + k)}" for j in range(20)] for k in range(8)]
+    rows = [(i, " ".join(rng.choice(topics[i % 8], 60))) for i in range(160)]  # no two neighbours in reading order share a topic
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = packing.pack(frame, window=1024, shard_docs=20, pivots=32).collect()
+    assert sorted(r.doc_id for r in found if r.start == 0) == list(range(160))
+    windows = {}
+    for r in found:
+        windows.setdefault(r.sequence_id, set()).add(r.doc_id)
+    met = [(a % 8) == (b % 8) for w in windows.values() for a in w for b in w if a < b]
+    assert np.mean(met) > 0.6  # by chance one in eight
+
+
+def test_packing_counts_and_terms_of_the_whole_table(spark, docs):
+    shard = [np.array(x, np.uint32) for x in ([1, 2, 2, 3], [2, 3, 4], [5, 6], [3, 3, 5])]
+    whole = packing.Whole(1000, 5.0, np.array([0, 900, 800, 3, 2, 700, 1]))
+    weight = lambda t, d: math.log1p((1000 - whole.df[t] + .5) / (whole.df[t] + .5)) * (tf := d.tolist().count(t)) * 2.2 / (tf + 1.2 * (.25 + .75 * len(d) / 5))
+    index = packing.Index(shard, whole=whole)
+    np.testing.assert_allclose(index.scores(0), [sum(weight(t, d) for t in (2, 3)) for d in shard])
+    long = [np.arange(40, dtype=np.uint32), np.arange(40, dtype=np.uint32)]
+    assert len(packing.Index(long).terms[0]) == 40
+    encode = lambda t: [*tokens.library().encode(t, add_special_tokens=False).ids, 0]
+    counts = packing.counted(packing.encoded(docs))
+    expected = Counter(x for _, t in texts() for x in set(encode(t)))
+    assert counts.n == len(ROWS) and {t: n for t, n in enumerate(counts.df.tolist()) if n} == expected
+    assert counts.mean == np.mean([len(encode(t)) for _, t in texts()])
+
+
 @pytest.mark.parametrize("length", [50, 9])
 def test_suffix_dedup(docs, none, length):
     order = sorted(((i if i is not None else math.inf), t.encode()) for i, t in texts())
