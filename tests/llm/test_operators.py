@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from crosstide.llm import host_rules, licenses, lpf_dedup, mixing, packing, ppm, simhash, token_counts, tokens, topk, toxicity
+from crosstide.llm import host_rules, licenses, lpf_dedup, mixing, near_copies, packing, ppm, simhash, token_counts, tokens, topk, toxicity
 
 PASSAGE = "a passage of many words that stands in several documents and is longer than fifty bytes "
 ROWS = [
@@ -249,6 +249,31 @@ def test_simhash(spark, docs, none, hot):
     assert simhash.near_duplicates(none).count() == 0
 
 
+@pytest.mark.parametrize("hot", [64, 3])
+def test_near_copies_stage(spark, hot):
+    import corpus_pipeline
+    rng = np.random.default_rng(7)
+    rows = []
+    for k in range(60):  # bases, each with copies that differ in 0 to 12 words of 300
+        base = [f"w{x}" for x in rng.integers(0, 5000, 300)]
+        for j, changed in enumerate((0, 1, 3, 5, 8, 12)[:2 + k % 5]):
+            copy = list(base)
+            for at in rng.choice(300, changed, replace=False):
+                copy[at] = f"new{k}x{j}x{at}"
+            rows.append((10 * k + j, " ".join(copy)))
+    rows += [(1000 + j, " ".join(f"c{x}" for x in range(200)) + f" end{j}") for j in range(12)]
+    sets = [{tuple(t.split()[p:p + 5]) for p in range(len(t.split()) - 4)} for _, t in rows]
+    group = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = group[a], group[b]
+                group = [min(x, y) if g in (x, y) else g for g in group]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = near_copies.distinct_documents(frame, hot) if hot != 64 else corpus_pipeline.drop_near_copies(spark, frame, "")
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({rows[g][0] for g in group})
+
+
 def test_token_counts(docs, none):
     expected = [(i, len(t.encode()), len(tokens.library().encode(t, add_special_tokens=False).ids)) for i, t in texts()]
     same([tuple(r) for r in token_counts.token_counts(docs, 100, 8).collect()], expected)
