@@ -11,6 +11,13 @@ from crosstide.functions.guards import count_true, ratio, strict_mean
 # Metrics where a smaller value is better.
 LOWER_IS_BETTER = ("mean_turnover", "diagnostic_turnover", "missing_top_fraction", "turnover_gap")
 SCORE_WEIGHTS = {"ic_mean": 0.4, "annual_excess": 0.3, "mean_turnover": -0.3}
+# Scores are compared at this many decimals, so that the order of a sum's terms cannot decide between equal candidates.
+COMPARED_DECIMALS = 9
+
+
+def compared(column):
+    """The value by which candidates are ordered; -0 and 0 are one value."""
+    return F.round(F.col(column) if isinstance(column, str) else column, COMPARED_DECIMALS) + F.lit(0.0)
 
 
 def require_folds(scores, folds):
@@ -30,7 +37,11 @@ def candidates(scores, by):
 
 def best(found, *tie_breaks):
     """The winner: highest mean, then worst score, then lowest turnover, then the given order."""
-    return found.orderBy(F.desc("mean_score"), F.desc("worst_score"), F.asc("mean_turnover"), *tie_breaks).limit(1)
+    return found.orderBy(*preference(), *tie_breaks).limit(1)
+
+
+def preference():
+    return [compared("mean_score").desc(), compared("worst_score").desc(), compared("mean_turnover").asc()]
 
 
 def select_grid_point(scores, by=()):
@@ -38,8 +49,7 @@ def select_grid_point(scores, by=()):
     found = candidates(scores, [*by, "alpha", "exit_fraction"])
     if not by:
         return best(found, F.desc("alpha"), F.asc("exit_fraction"))
-    order = Window.partitionBy(*by).orderBy(
-        F.desc("mean_score"), F.desc("worst_score"), F.asc("mean_turnover"), F.desc("alpha"), F.asc("exit_fraction"))
+    order = Window.partitionBy(*by).orderBy(*preference(), F.desc("alpha"), F.asc("exit_fraction"))
     return found.withColumn("_place", F.row_number().over(order)).filter("_place = 1").drop("_place")
 
 
@@ -60,8 +70,8 @@ def select_feature_set(scores, baseline, counts):
         F.min("delta_final_score").alias("worst_delta"), F.avg("final_score").alias("mean_score"),
         F.min("final_score").alias("worst_score"))
     found = found.join(F.broadcast(counts), "feature_set")
-    found = found.withColumn("eligible", (F.col("feature_set") == baseline) | (F.col("worst_delta") >= 0))
-    chosen = found.filter("eligible").orderBy(F.desc("mean_score"), F.desc("worst_score"), F.asc("feature_count")).limit(1)
+    found = found.withColumn("eligible", (F.col("feature_set") == baseline) | (compared("worst_delta") >= 0))
+    chosen = found.filter("eligible").orderBy(*preference()[:2], F.asc("feature_count")).limit(1)
     return found.join(F.broadcast(chosen.select("feature_set", F.lit(True).alias("selected"))), "feature_set", "left").fillna(
         {"selected": False})
 

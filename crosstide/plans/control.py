@@ -115,7 +115,7 @@ def u05(spark, d):
 SELECT_SQL = """, chosen_rows AS (SELECT * FROM scores WHERE fold IN ({folds})),
   candidates AS (SELECT model, alpha, exit_fraction, avg(final_score) AS mean_score, min(final_score) AS worst_score,
     avg(mean_turnover) AS mean_turnover FROM chosen_rows GROUP BY model, alpha, exit_fraction),
-  selected AS (SELECT * FROM candidates QUALIFY row_number() OVER (PARTITION BY model ORDER BY mean_score DESC, worst_score DESC, mean_turnover, alpha DESC, exit_fraction) = 1)"""
+  selected AS (SELECT * FROM candidates QUALIFY row_number() OVER (PARTITION BY model ORDER BY round(mean_score, 9) DESC, round(worst_score, 9) DESC, round(mean_turnover, 9), alpha DESC, exit_fraction) = 1)"""
 _CHOICE = ("mean_score", "worst_score", "mean_turnover")
 
 
@@ -175,7 +175,7 @@ BLEND_SCORES = BLEND_RANKS + P.scored_sql("blended", ["weight", "fold"]) + P.sum
 
 @query("u09_weight_selection", BLEND_SCORES + f""", candidates AS (SELECT weight, avg(final_score) AS mean_score, min(final_score) AS worst_score,
   avg(mean_turnover) AS mean_turnover FROM scores WHERE fold IN ('F1', 'F2') GROUP BY weight)
-  SELECT weight, {S.rounded(*_CHOICE)} FROM (SELECT * FROM candidates ORDER BY mean_score DESC, worst_score DESC, candidates.mean_turnover, abs(weight - 0.5) LIMIT 1)""")
+  SELECT weight, {S.rounded(*_CHOICE)} FROM (SELECT * FROM candidates ORDER BY round(mean_score, 9) DESC, round(worst_score, 9) DESC, round(candidates.mean_turnover, 9), abs(weight - 0.5) LIMIT 1)""")
 def u09(spark, d):
     scores = E.score(blended(spark, d).filter(F.col("fold").isin("F1", "F2")), OFFICIAL_HERE, ["weight", "fold"], date_sizes(spark, d))
     return shown(L.select_weight(scores))
@@ -192,8 +192,8 @@ def all_scores(spark, d):
 @query("u10_feature_set_selection", ALL_SCORES + f""", counts(model, feature_count) AS (VALUES {', '.join(map(str, FEATURE_COUNTS))}),
   deltas AS (SELECT s.*, s.final_score - b.final_score AS delta FROM scores s JOIN scores b ON b.model = 'a' AND b.fold = s.fold),
   sets AS (SELECT model AS feature_set, min(delta) AS worst_delta, avg(final_score) AS mean_score, min(final_score) AS worst_score,
-    max(feature_count) AS feature_count, model = 'a' OR min(delta) >= 0 AS eligible FROM deltas JOIN counts USING (model) GROUP BY model),
-  winner AS (SELECT feature_set AS w FROM sets WHERE eligible ORDER BY mean_score DESC, worst_score DESC, feature_count LIMIT 1)
+    max(feature_count) AS feature_count, model = 'a' OR round(min(delta), 9) + 0.0 >= 0 AS eligible FROM deltas JOIN counts USING (model) GROUP BY model),
+  winner AS (SELECT feature_set AS w FROM sets WHERE eligible ORDER BY round(mean_score, 9) DESC, round(worst_score, 9) DESC, feature_count LIMIT 1)
   SELECT feature_set, feature_count, eligible, feature_set = w AS selected, {S.rounded('worst_delta', 'mean_score', 'worst_score')} FROM sets CROSS JOIN winner""")
 def u10(spark, d):
     counts = spark.createDataFrame(list(FEATURE_COUNTS), "feature_set string, feature_count int")

@@ -159,7 +159,7 @@ def s13(spark, d):
 
 
 # Joins.
-@query("j01_three_way_join", PREDS + f" SELECT p.ts_code, p.trade_date, {', '.join('round(p.' + c + ', 6) + 0.0 AS ' + c for c in ('pred_a', 'y_ret_1d'))}, b.flag_limit_up FROM preds p JOIN bars b USING ({ROWS}) WHERE p.y_ret_1d IS NOT NULL")
+@query("j01_three_way_join", PREDS.replace("bars AS (", "bars AS MATERIALIZED (").replace("preds AS (", "preds AS MATERIALIZED (") + f" SELECT p.ts_code, p.trade_date, {', '.join('round(p.' + c + ', 6) + 0.0 AS ' + c for c in ('pred_a', 'y_ret_1d'))}, b.flag_limit_up FROM preds p JOIN bars b USING ({ROWS}) WHERE p.y_ret_1d IS NOT NULL")
 def j01(spark, d):
     pred, label, flag = files.evaluation_inputs(predictions(spark, d).withColumn("pred", F.col("pred_a")))
     joined = pred.join(label.filter(F.col(LABEL).isNotNull()), KEYS).join(flag, KEYS)

@@ -94,3 +94,15 @@ def test_partial_correlation_equals_rank_residualisation(spark):
     rx, ry, rp = (pd.Series(v).rank().to_numpy() for v in (x, y, p))
     rest = lambda a: a - np.polyval(np.polyfit(rp, a, 1), rp)
     assert np.isclose(value, np.corrcoef(rest(rx), rest(ry))[0, 1], rtol=1e-9)
+
+
+def test_rounding_noise_does_not_decide_between_equal_scores(spark):
+    from crosstide.operators.selection import select_grid_point, select_weight
+
+    third = 0.1 + 0.2  # 0.30000000000000004
+    rows = [("m", f, a, x, w, t) for f, (w1, w2) in {"F1": (third, 0.3), "F2": (0.6, 0.6)}.items() for a, x, w, t in ((0.5, 0.15, w1, 0.4), (0.8, 0.15, w2, 0.2), (0.8, 0.1, w2, 0.2))]
+    scores = spark.createDataFrame(rows, "model string, fold string, alpha double, exit_fraction double, final_score double, mean_turnover double")
+    found = select_grid_point(scores, ["model"]).first()
+    assert (found.alpha, found.exit_fraction) == (0.8, 0.1)  # the first point is ahead by noise only and turns over more
+    found = select_weight(scores.withColumn("weight", scores.alpha)).first()
+    assert found.weight == 0.8
