@@ -1,10 +1,10 @@
-"""The thin registered queries op1 to op10: each applies its operator to its whole table and returns the contract's columns."""
+"""The thin registered queries op1 to op13: each applies its operator to its whole table and returns the contract's columns."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from crosstide.llm import host_rules, licenses, lpf_dedup, mixing, packing, ppm, simhash, token_counts, topk, toxicity
+from crosstide.llm import filter_audit, host_rules, licenses, lpf_dedup, mixing, packing, ppm, simhash, token_counts, topk, toxicity
 from crosstide.llm.common import table
 
 
@@ -54,5 +54,9 @@ def op10_mixing(spark, folder):
         F.col("__probability").alias("probability"), F.col("__weight").alias("weight"), F.col("__sampled").alias("sampled"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_lexical_packing, op3_suffix_dedup, op4_toxicity, op5_host_rules, op6_ppm_score, op7_simhash, op8_token_counts, op9_exact_topk, op10_mixing)}
-ORACLES = {"op5_host_rules": host_rules.ORACLE, "op9_exact_topk": topk.ORACLE, "op10_mixing": mixing.oracle()}
+def op13_filter_audit(spark, folder):
+    return filter_audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_lexical_packing, op3_suffix_dedup, op4_toxicity, op5_host_rules, op6_ppm_score, op7_simhash, op8_token_counts, op9_exact_topk, op10_mixing, op13_filter_audit)}
+ORACLES = {"op5_host_rules": host_rules.ORACLE, "op9_exact_topk": topk.ORACLE, "op10_mixing": mixing.oracle(), "op13_filter_audit": filter_audit.ORACLE}
