@@ -49,12 +49,25 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(f"{self.root}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
+    def clear(self) -> None:
+        """Drops the whole folder, once nothing reads it any more."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
     def drop(self, *names: str) -> None:
         for name in names:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """`name`, with underscores added until no column has it (Spark compares names without case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_bytes(batch: pa.RecordBatch | pa.Table, name: str = "text") -> tuple[np.ndarray, memoryview]:
     """Offsets (rows + 1) and the buffer of a binary column; nulls are empty."""
     column = batch.column(name)
@@ -139,8 +152,8 @@ def chunked(docs: DataFrame, size: int, keep: bool = False) -> DataFrame:
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable over undirected edges (a, b), by alternating large and small stars.
 
-    Each round regroups stored edges by node; minima are aggregated first, so a hub's edges are never gathered in one task.
-    Ends when a round leaves the edges as they were. Nodes without an edge are not listed."""
+    Each round regroups stored edges by node; minima are aggregated before the exchange. The join that hands a hub's minimum to its edges
+    relies on adaptive skew splitting. Ends when a round leaves the edges as they were. Nodes without an edge are not listed."""
     now = scratch.table("edges0", edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     key, turn = _state(now), 0
     while key[0]:

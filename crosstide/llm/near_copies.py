@@ -1,118 +1,36 @@
-"""Near copies by word shingles: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+"""Near copies: of documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, the first stays.
 
-Documents with equal shingle sets are one node (a 64-bit hash of the sorted set). A node sends 24 keys, each of 5 minima of hashed
-shingles; a pair of similarity s shares a key with probability 1 - (1 - s^5)^24, that is 0.9999 at 0.8. Every pair that shares a key
-is compared by its exact sets while the key holds at most `hot` nodes. A larger key goes in rounds: round r compares about 2^r of
-its nodes with all others outside their component, and ends when the key lies in one component or all its nodes were compared. Texts
-shorter than five words are one shingle; null and empty texts have none and equal each other. Pairs join components; of each the
-row with the smallest (doc_id, nulls last, row key) is first."""
+Candidates come from SimHash (fingerprints of five-word shingles that differ in at most two bits, by pigeonhole blocks) and from the
+tensored keys of set_links, since two bits find few copies with several changed words. Each candidate is confirmed on the full sets, and
+all links join components: no cap, and no pair is left out. Of each component the row with the smallest (doc_id, nulls last, row key) is
+first. Null and empty texts equal each other, so one of them stays; repeated rows are copies. An empty table gives none. Columns of any
+name are carried; only doc_id and text are read."""
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crosstide.llm.common import LAST_ID, Scratch, components, text_bytes
+from crosstide.llm import simhash
+from crosstide.llm.common import Scratch, unused
+from crosstide.llm.set_links import HOT, PERCENT, linked
 
-WORDS, SIMILARITY, BANDS, WIDTH, HOT, SALTS, SEED = 5, 0.8, 24, 5, 64, 16, 42
-_ODD = np.random.default_rng(SEED).integers(0, 1 << 63, (BANDS * WIDTH, 1), np.uint64) * np.uint64(2) + np.uint64(1)
-_MIX = np.random.default_rng(SEED + 1).integers(0, 1 << 63, WIDTH, np.uint64) * np.uint64(2) + np.uint64(1)
+WORDS = 5
 
 
-def shingles(raw: bytes, words: int = WORDS) -> np.ndarray:
-    """The distinct shingles' hashes in order."""
-    from xxhash import xxh64_intdigest
+def close_fingerprints(scratch: Scratch, rows: DataFrame, words: int = WORDS) -> DataFrame:
+    """Pairs (a, b) of row keys whose SimHash fingerprints are equal or close, enough to connect all of them."""
+    prints = scratch.table("fingerprints", simhash.fingerprints(rows.select(F.col("__row").alias("doc_id"), "text"), words))
+    firsts = scratch.table("distinct", prints.groupBy("f").agg(F.min("id").alias("node")))
+    equal = prints.join(firsts, "f").filter("id <> node").select(F.col("node").alias("a"), F.col("id").alias("b"))
+    return equal.union(simhash.links(scratch, firsts))
 
-    parts = raw.lower().split()
-    if not parts:
-        return np.zeros(0, np.uint64)
-    joined = b" ".join(parts)
-    if len(parts) <= words:
-        return np.array([xxh64_intdigest(joined, SEED)], np.uint64)
-    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
-    begins = np.append(0, ends[:-1] + 1)[:len(parts) - words + 1]
-    return np.unique(np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in zip(begins.tolist(), ends[words - 1:].tolist(), strict=True)], np.uint64))
 
-
-def keys(found: np.ndarray) -> np.ndarray:
-    """One key for each band of minima."""
-    least = np.full(BANDS * WIDTH, ~np.uint64(0))
-    for a in range(0, len(found), 2048):
-        least = np.minimum(least, (_ODD * found[a:a + 2048]).min(axis=1))
-    least ^= least >> np.uint64(31)
-    return (least.reshape(BANDS, WIDTH) * _MIX).sum(axis=1, dtype=np.uint64)
-
-
-def sketched(rows: DataFrame) -> DataFrame:
-    """(row, id, node, keys) of stored rows with a column __row."""
-    def run(batches):
-        from xxhash import xxh64_intdigest
-
-        for batch in batches:
-            offsets, data = text_bytes(batch)
-            sets = [shingles(bytes(data[a:b])) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            node = np.array([xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_pydict({"row": batch.column("row"), "id": batch.column("id"), "node": pa.array(node), "keys": pa.array([keys(s).view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets], pa.list_(pa.int64()))})
-
-    text = F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text")
-    return rows.select(F.col("__row").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST_ID))).alias("id"), text).mapInArrow(run, "row long, id long, node long, keys array<long>")
-
-
-def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The pairs (a, b) of nodes whose exact similarity is large enough."""
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
-
-    def run(batches):
-        for batch in batches:
-            (ao, ad), (bo, bd) = text_bytes(batch, "ta"), text_bytes(batch, "tb")
-            keep = np.zeros(len(batch), bool)
-            for k in range(len(batch)):
-                x, y = shingles(bytes(ad[ao[k]:ao[k + 1]])), shingles(bytes(bd[bo[k]:bo[k + 1]]))
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                keep[k] = shared >= similarity * (len(x) + len(y) - shared)
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
-
-    return both.mapInArrow(run, "a long, b long")
-
-
-def firsts(scratch: Scratch, rows: DataFrame, hot: int = HOT) -> DataFrame:
-    """(row) of the first row of each component. rows: stored, with a unique column __row."""
-    marks = scratch.table("sketches", sketched(rows))
-    heads = marks.groupBy("node").agg(F.min(F.struct("id", "row", "keys")).alias("head"))
-    nodes = scratch.table("nodes", heads.select("node", "head.id", "head.row", "head.keys"))
-    text = F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text")
-    sent = nodes.select("node", F.posexplode("keys").alias("band", "key"))
-    sizes = sent.groupBy("band", "key").agg(F.count("*").alias("size")).filter("size > 1")
-    sent = scratch.table("keys", sent.join(sizes, ["band", "key"]))
-    few, many = sent.filter(F.col("size") <= hot), sent.filter(F.col("size") > hot)
-    pairs = few.select("band", "key", F.col("node").alias("a")).join(few.select("band", "key", F.col("node").alias("b")), ["band", "key"]).filter("a > b").select("a", "b").distinct()
-    asked = scratch.table("pairs", pairs)
-    named = asked.select(F.col("a").alias("node")).union(asked.select("b")).union(many.select("node")).distinct()
-    texts = scratch.table("texts", rows.select(F.col("__row").alias("row"), text).join(nodes.join(named, "node", "left_semi").select("row", "node"), "row").select("node", "text"))
-    edges = scratch.table("links", verified(asked, texts))
-    turn, largest = 0, many.agg(F.max("size")).first()[0] or 0
-    while largest:
-        group = components(Scratch(rows.sparkSession), edges)
-        now = many.join(group, "node", "left").select("band", "key", "size", "node", F.coalesce("component", "node").alias("c"))
-        open_ = now.groupBy("band", "key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min("node").alias("least")).filter("low <> high")
-        now = scratch.table(f"open{turn}", now.join(open_.select("band", "key", "least"), ["band", "key"]))
-        if now.isEmpty():
-            break
-        lead = now.filter((F.pmod(F.xxhash64("node"), F.col("size")) < (1 << turn)) | (F.col("node") == F.col("least")))
-        lead = lead.select("band", "key", F.col("node").alias("x"), F.col("c").alias("cx"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-        met = now.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(lead, ["band", "key", "salt"]).filter("c <> cx")
-        met = scratch.table(f"met{turn}", met.select(F.greatest("x", "node").alias("a"), F.least("x", "node").alias("b")).distinct())
-        edges = scratch.table(f"links{turn}", edges.union(verified(met, texts)).distinct())
-        turn, largest = turn + 1, largest if 1 << turn < largest else 0  # in the last round every node was compared
-    group = components(Scratch(rows.sparkSession), edges)
-    whole = nodes.join(group, "node", "left").groupBy(F.coalesce("component", "node").alias("c"))
-    return whole.agg(F.min(F.struct("id", "row")).alias("first")).select(F.col("first.row").alias("__row"))
-
-
-def distinct_documents(docs: DataFrame, hot: int = HOT) -> DataFrame:
+def distinct_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, hot: int = HOT) -> DataFrame:
     """The first row of each component, with all columns of docs."""
-    scratch = Scratch(docs.sparkSession)
-    rows = scratch.table("rows", docs.withColumn("__row", F.monotonically_increasing_id()))
-    return rows.join(firsts(scratch, rows, hot), "__row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    scratch, key = Scratch(docs.sparkSession), unused("__row", docs.columns)
+    rows = scratch.table("rows", docs.withColumn(key, F.monotonically_increasing_id()))
+    texts = rows.select(F.col(f"`{key}`").alias("__row"), "doc_id", "text")
+    _, nodes = linked(scratch, texts, words, percent, hot, more=close_fingerprints(scratch, texts, words))
+    firsts = nodes.groupBy("component").agg(F.min(F.struct("id", "row")).alias("first")).select(F.col("first.row").alias(key))
+    return rows.join(firsts, key, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

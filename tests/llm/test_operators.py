@@ -270,7 +270,7 @@ def test_near_copies_stage(spark, hot):
                 x, y = group[a], group[b]
                 group = [min(x, y) if g in (x, y) else g for g in group]
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    kept = near_copies.distinct_documents(frame, hot) if hot != 64 else corpus_pipeline.drop_near_copies(spark, frame, "")
+    kept = near_copies.distinct_documents(frame, hot=hot) if hot != 64 else corpus_pipeline.drop_near_copies(spark, frame, "")
     assert sorted(r.doc_id for r in kept.collect()) == sorted({rows[g][0] for g in group})
 
 
