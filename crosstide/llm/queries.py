@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from crosstide.llm import filter_audit, host_rules, licenses, lpf_dedup, mixing, packing, ppm, simhash, tensor_minhash, token_counts, topk, toxicity
+from crosstide.llm import filter_audit, host_rules, licenses, lpf_dedup, mixing, packing, ppm, simhash, tensor_minhash, token_alignment, token_counts, topk, toxicity
 from crosstide.llm.common import table
 
 
@@ -54,6 +54,10 @@ def op10_mixing(spark, folder):
         F.col("__probability").alias("probability"), F.col("__weight").alias("weight"), F.col("__sampled").alias("sampled"))
 
 
+def op11_token_alignment(spark, folder):
+    return token_alignment.align(table(spark, folder, "documents"))
+
+
 def op12_tensor_minhash(spark, folder):
     return tensor_minhash.near_duplicates(table(spark, folder, "documents"))
 
@@ -62,5 +66,5 @@ def op13_filter_audit(spark, folder):
     return filter_audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_lexical_packing, op3_suffix_dedup, op4_toxicity, op5_host_rules, op6_ppm_score, op7_simhash, op8_token_counts, op9_exact_topk, op10_mixing, op12_tensor_minhash, op13_filter_audit)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_lexical_packing, op3_suffix_dedup, op4_toxicity, op5_host_rules, op6_ppm_score, op7_simhash, op8_token_counts, op9_exact_topk, op10_mixing, op11_token_alignment, op12_tensor_minhash, op13_filter_audit)}
 ORACLES = {"op5_host_rules": host_rules.ORACLE, "op9_exact_topk": topk.ORACLE, "op10_mixing": mixing.oracle(), "op12_tensor_minhash": tensor_minhash.ORACLE, "op13_filter_audit": filter_audit.ORACLE}
