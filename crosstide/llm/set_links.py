@@ -11,8 +11,8 @@ Every pair that shares a key is compared on its full sets unless it is in one co
 3. keys of more than `hot` nodes that still hold two components (a passage that very many different texts share): their nodes are asked
    anew by an exact prefix filter. Shingles are ordered from rare to frequent; similar sets must share one of the first
    n - ceil(s n) + 1. These shingles are the keys of steps 1 and 2, and the common passage is not among them;
-4. prefix keys that are still large and open go in rounds: round r compares about 2^r of a key's nodes with all others outside their
-   component, until the key lies in one component or all its nodes were compared.
+4. prefix keys that are still large and open go in rounds: round r compares the next of a key's nodes, about 8^r, with all others outside
+   their component, until the key lies in one component or all its nodes were compared.
 A group of n near copies costs about n comparisons in step 1; nothing is dropped or capped. A set travels once per comparison."""
 
 from __future__ import annotations
@@ -184,16 +184,17 @@ class Links:
 
     def rounds(self, large: DataFrame, sets: DataFrame) -> None:
         """Step 4."""
-        turn, largest, shared = 0, large.agg(F.max("size")).first()[0], large.drop("c")
-        while largest:
+        done, upto, largest, shared = 0, 1, large.agg(F.max("size")).first()[0], large.drop("c")
+        while done < largest:
             now = self.scratch.table(self.name("round"), self.open_keys(shared))
             if now.isEmpty():
                 return
-            lead = now.filter(F.pmod(F.xxhash64("node"), F.col("size")) < (1 << turn))
+            place = F.pmod(F.xxhash64("node"), F.col("size"))
+            lead = now.filter((place >= done) & (place < upto))
             lead = lead.select("key", F.col("node").alias("x"), F.col("n").alias("x_n"), F.col("c").alias("x_c"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
             met = now.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(lead, ["key", "salt"]).filter("c <> x_c").filter(self.sizes_fit("n", "x_n"))
             self.confirm(met.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct(), sets)
-            turn, largest = turn + 1, largest if 1 << turn < largest else 0  # in the last round every node was compared
+            done, upto = upto, 8 * upto
 
 
 def linked(scratch: Scratch, rows: DataFrame, words: int, percent: int = PERCENT, hot: int = HOT, more: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
