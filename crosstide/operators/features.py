@@ -1,6 +1,9 @@
 """Whole feature views of a panel."""
 
+from pyspark.sql import functions as F
+
 from crosstide import catalog
+from crosstide.functions import rank_kernel
 from crosstide.functions.groups import measure
 from crosstide.operators.cross import cross_features, percent_ranks
 from crosstide.operators.history import history_features
@@ -14,9 +17,14 @@ def basic_view(panel):
 
 def full_view(panel, sizes=None):
     """All 147 columns: one exchange by entity, one by date."""
+    return catalog.checked(full_rows(panel, sizes), catalog.FULL)
+
+
+def full_rows(panel, sizes=None, keep=()):
+    """All 147 columns with further columns of the panel."""
     sizes = sizes or measure(panel, [DATE])
-    entity = history_features(panel, catalog.ENTITY_FEATURES)
-    return catalog.checked(cross_features(entity, panel, sizes), catalog.FULL)
+    entity = history_features(panel, catalog.ENTITY_FEATURES, keep=[*KEYS, *keep])
+    return cross_features(entity, panel, sizes)
 
 
 def rank_view(features, sizes=None):
@@ -25,9 +33,17 @@ def rank_view(features, sizes=None):
 
 
 def all_ranked(features, sizes=None, names=catalog.FULL):
-    """Replace every column except the market ones by its same-date rank."""
+    """Replace every column except the market ones by its same-date rank.
+
+    Values are compared as 32-bit floats. All columns of a date are ranked in one task while its cells fit."""
     ranked = [n for n in names if catalog.CATEGORY[n] != "market"]
-    out = percent_ranks(features, {n: f"_ranked_{n}" for n in ranked}, sizes)
+    raw = [n for n in names if n not in ranked]
+    sizes = sizes or measure(features, [DATE])
+    if rank_kernel.fits(sizes, len(ranked)):
+        out = rank_kernel.ranked_columns(features, ranked, [DATE], [*KEYS, *raw], "_ranked_")
+    else:
+        narrow = features.withColumns({n: F.col(n).cast("float").cast("double") for n in ranked})
+        out = percent_ranks(narrow, {n: f"_ranked_{n}" for n in ranked}, sizes)
     return out.select(*KEYS, *[out[f"_ranked_{n}"].alias(n) if n in ranked else out[n] for n in names])
 
 

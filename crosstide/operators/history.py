@@ -6,7 +6,7 @@ aggregates, and arithmetic on those.  Means, spreads, co-moments, extremes and p
 inside their frame (at most 60 rows), so a large value leaves no trace once it has left the window.
 Only counts are differences of running totals, which is exact; a window without any change is told
 apart by counting changes.  A row with a missing value keeps its place: frames
-count rows, never calendar days.
+count rows, never calendar days.  Views of many columns are made by ``history_kernel`` with the same rules.
 """
 
 import math
@@ -18,9 +18,11 @@ from crosstide import catalog
 from crosstide.functions.guards import EPS, finite, max_of, min_of, positive, ratio
 from crosstide.functions.groups import spread
 from crosstide.operators.ema import ema_deviation
+from crosstide.operators.history_kernel import array_features
 from crosstide.schema import DATE, ENTITY, KEYS, SOURCES
 
 ROWS_SINCE_CAP = 61
+WIDE = 24
 AGGREGATES = {"sum": F.sum, "avg": F.avg, "std": F.stddev_pop, "min": F.min, "max": F.max}
 
 
@@ -212,8 +214,10 @@ def _definitions(b):
     return d
 
 
-def history_features(panel, names, keep=KEYS):
-    """Keys (or the columns in ``keep``) plus the named per-entity features."""
+def history_features(panel, names, keep=KEYS, wide=None):
+    """Keys (or the columns in ``keep``) plus the named per-entity features.
+
+    Views of more than ``WIDE`` columns are computed as arrays over the sorted rows (``wide`` forces either way)."""
     names, b = list(names), Build()
     spans = [int(n.split("_")[1]) for n in names if n.startswith("emadev_")]
     known = _definitions(b)
@@ -221,6 +225,8 @@ def history_features(panel, names, keep=KEYS):
     unknown = set(names) - set(last) - {f"emadev_{s}" for s in spans}
     if unknown:
         raise ValueError(f"unknown features: {sorted(unknown)}")
+    if len(names) > WIDE if wide is None else wide:
+        return array_features(panel, names, keep)
     df = spread(panel.select(*dict.fromkeys([*KEYS, *SOURCES, *keep])), ENTITY)
     if spans:
         df = ema_deviation(df, spans).drop("_seen", *[f"_ema_{s}" for s in spans])

@@ -2,11 +2,13 @@
 
 from pyspark.sql import functions as F
 
-from crosstide.functions.groups import average_ranks
+from crosstide.functions import rank_kernel
+from crosstide.functions.groups import average_ranks, sizes_of
 from crosstide.functions.guards import all_present, count_true, rank_correlation, ratio
 from crosstide.schema import DATE, KEYS
 
-REGIONS = ("full", "top20", "middle60")
+# Bounds (above, up to) of the prediction rank.
+REGIONS = {"full": (None, None), "top20": (0.8, None), "middle60": (0.2, 0.8)}
 MEANINGFUL_IC = 0.01
 
 
@@ -40,6 +42,19 @@ def column_rank_correlations(df, features, against, by, keys, minimum_rows, size
     ]).filter(F.col("pair_rows") >= minimum_rows)
 
 
+def region_rank_correlations(df, features, against, by, keys, minimum_rows, sizes=None, rank="pred_rank"):
+    """The same per region of the prediction rank, for any number of features.
+
+    One exchange on ``by``; the features stay columns and are ranked together in one task a group. Groups beyond the kernel's cell limit
+    turn features into rows, region by region, which the sliced ranks handle at any size. Features are compared as 32-bit floats.
+    """
+    sizes = sizes_of(df, by, sizes)
+    if rank_kernel.fits(sizes, len(features)):
+        return rank_kernel.region_correlations(df, list(features), list(against), list(by), REGIONS, rank, minimum_rows)
+    narrow = df.withColumns({f: F.col(f).cast("float").cast("double") for f in features})
+    return column_rank_correlations(with_regions(narrow, rank), features, against, [*by, "region"], keys, minimum_rows, sizes)
+
+
 def partial_correlation(xy, xp, yp):
     """Correlation of x and y with p held fixed, from the three pairwise ones."""
     x, y, p = F.col(xy), F.col(xp), F.col(yp)

@@ -13,6 +13,7 @@ from crosstide.operators.history import history_features
 from crosstide.plans import runs as P
 from crosstide.plans import sqltext as S
 from crosstide.plans.control import ALL_SCORES, all_scores
+from crosstide.plans.date_features import full_ctes, narrow
 from crosstide.plans.registry import date_sizes, query, shown
 from crosstide.plans.runs import METRICS, OFFICIAL_HERE, RUN
 from crosstide.schema import DATE, ENTITY, KEYS, LABEL
@@ -214,60 +215,75 @@ def d16(spark, d):
     return shown(L.classify_families(deltas(spark, d).filter("model <> 'a'")))
 
 
-# Residual diagnostics on a handful of features of different families.
-STUDIED = ("kmid", "madev_5", "madev_20", "stdret_5", "stdret_20", "volratio_5", "amtratio_5", "illiq_1", "limit_up_count_20")
+# Residual diagnostics of every feature: the 147 of the full view and the 15 ranks that the rank view adds.
+_ADDED = catalog.rank_view_columns()
+STUDIED = [*catalog.FULL, *_ADDED.values()]
 MIN_ROWS = 5
 
 
 def studied(spark, d):
+    """Every validation row with all studied features, the residual and the prediction rank."""
+    from crosstide.operators.features import full_rows, rank_view
     from crosstide.operators.targets import residual_rank
-    panel = bars(spark, d, labelled=True)
-    df = history_features(panel, [*STUDIED, "ret_1", "ret_5"], keep=[*KEYS, LABEL])
+    panel, sizes = bars(spark, d, labelled=True), date_sizes(spark, d)
+    df = rank_view(full_rows(panel, sizes, [LABEL]), sizes)
     df = P.in_folds(df.withColumn("pred", F.coalesce(-F.col("ret_5"), F.lit(0.0))))
-    return D.with_regions(residual_rank(df, date_sizes(spark, d), FOLD))
+    return residual_rank(df, sizes, FOLD)
+
+
+def daily_correlations(spark, d, against):
+    return D.region_rank_correlations(studied(spark, d), STUDIED, against, ["fold", DATE], [ENTITY], MIN_ROWS, date_sizes(spark, d))
 
 
 def residual_daily(spark, d):
-    return D.column_rank_correlations(studied(spark, d), STUDIED, ["residual", "pred_rank"], ["fold", "region", DATE],
-                                      [ENTITY], MIN_ROWS, date_sizes(spark, d))
+    return daily_correlations(spark, d, ["residual", "pred_rank"])
 
 
 BY = "fold, region, feature, trade_date"
-STUDY_SQL = S.history([*STUDIED, "ret_1", "ret_5"], keep=("ts_code", "trade_date", "y_ret_1d")) + ", " + S.FOLD_VALUES + f""",
-  known AS (SELECT f.*, coalesce(-ret_5, 0) AS pred, s.fold FROM features f JOIN folds s ON trade_date BETWEEN valid_start AND valid_end WHERE y_ret_1d IS NOT NULL),
+
+
+def study_sql(against):
+    """CTEs up to ``daily``: correlations of every feature with the compared columns (a name to its abbreviation)."""
+    ranked = ", ".join(f"{avg_rank(c, BY)} AS {short}" for c, short in {"value": "rv", **against}.items())
+    pairs = [("rv", short) for short in against.values()]
+    shorts = list(against.values())
+    pairs += [(y, x) for i, x in enumerate(shorts) for y in shorts[i + 1:]]
+    found = ", ".join(f"CASE WHEN max({x}) <> min({x}) AND max({y}) <> min({y}) THEN {corr_sql(x, y)} END AS {x}_{y}" for x, y in pairs)
+    return full_ctes(("ts_code", "trade_date", "y_ret_1d")) + ", " + S.FOLD_VALUES + f""",
+  viewed AS (SELECT *, {', '.join(f"{S.pct(c)} AS {new}" for c, new in _ADDED.items())} FROM full_rows),
+  known AS (SELECT ts_code, trade_date, y_ret_1d, coalesce(-ret_5, 0) AS pred, fold, {narrow(STUDIED)} FROM viewed
+    JOIN folds ON trade_date BETWEEN valid_start AND valid_end WHERE y_ret_1d IS NOT NULL),
   ranks AS (SELECT *, {S.pct('y_ret_1d', 'fold, trade_date')} AS label_rank, {S.pct('pred', 'fold, trade_date')} AS pred_rank FROM known),
   regions AS (SELECT *, label_rank - pred_rank AS residual, 'full' AS region FROM ranks UNION ALL SELECT *, label_rank - pred_rank, 'top20' FROM ranks WHERE pred_rank > 0.8
     UNION ALL SELECT *, label_rank - pred_rank, 'middle60' FROM ranks WHERE pred_rank > 0.2 AND pred_rank <= 0.8),
-  long_rows AS (""" + " UNION ALL ".join(
-    f"SELECT fold, region, trade_date, y_ret_1d, pred, pred_rank, residual, '{c}' AS feature, {c} AS value FROM regions WHERE {c} IS NOT NULL" for c in STUDIED) + f"""),
-  long_ranks AS (SELECT {BY}, {avg_rank('value', BY)} AS rv, {avg_rank('residual', BY)} AS rr, {avg_rank('pred_rank', BY)} AS rp, {avg_rank('y_ret_1d', BY)} AS ry FROM long_rows),
-  daily AS (SELECT {BY}, count(*) AS pair_rows, CASE WHEN max(rv) <> min(rv) AND max(rr) <> min(rr) THEN {corr_sql('rv', 'rr')} END AS ic_residual,
-    CASE WHEN max(rv) <> min(rv) AND max(rp) <> min(rp) THEN {corr_sql('rv', 'rp')} END AS ic_pred_rank,
-    CASE WHEN max(rv) <> min(rv) AND max(ry) <> min(ry) THEN {corr_sql('rv', 'ry')} END AS ic_label,
-    CASE WHEN max(rp) <> min(rp) AND max(ry) <> min(ry) THEN {corr_sql('ry', 'rp')} END AS ic_label_pred
-    FROM long_ranks GROUP BY {BY} HAVING count(*) >= {MIN_ROWS})"""
+  long_rows AS (UNPIVOT regions ON {', '.join(STUDIED)} INTO NAME feature VALUE value),
+  long_ranks AS (SELECT {BY}, {ranked} FROM long_rows),
+  daily AS (SELECT {BY}, count(*) AS pair_rows, {found} FROM long_ranks GROUP BY {BY} HAVING count(*) >= {MIN_ROWS})"""
+
+
+STUDY_SQL = study_sql({"residual": "rr", "pred_rank": "rp"})
+PARTIAL_SQL = study_sql({"y_ret_1d": "ry", "pred_rank": "rp"})
 
 
-@query("d11_residual_correlation", STUDY_SQL + f" SELECT {BY}, pair_rows, {S.rounded('ic_residual', 'ic_pred_rank')} FROM daily")
+@query("d11_residual_correlation", STUDY_SQL + f" SELECT {BY}, pair_rows, round(rv_rr, 6) + 0.0 AS ic_residual, round(rv_rp, 6) + 0.0 AS ic_pred_rank FROM daily")
 def d11(spark, d):
     return shown(residual_daily(spark, d), "fold", "region", "feature", DATE, "pair_rows", "ic_residual", "ic_pred_rank")
 
 
-@query("d12_partial_correlation", STUDY_SQL + f""", partials AS (SELECT *, CASE WHEN abs(ic_pred_rank) < 0.999999 AND abs(ic_label_pred) < 0.999999
-    THEN (ic_label - ic_pred_rank * ic_label_pred) / sqrt((1 - ic_pred_rank * ic_pred_rank) * (1 - ic_label_pred * ic_label_pred)) END AS partial_ic FROM daily)
+@query("d12_partial_correlation", PARTIAL_SQL + f""", named AS (SELECT *, rv_ry AS ic_label, rv_rp AS ic_pred_rank, rp_ry AS ic_label_pred FROM daily), partials AS (SELECT *, CASE WHEN abs(ic_pred_rank) < 0.999999 AND abs(ic_label_pred) < 0.999999
+    THEN (ic_label - ic_pred_rank * ic_label_pred) / sqrt((1 - ic_pred_rank * ic_pred_rank) * (1 - ic_label_pred * ic_label_pred)) END AS partial_ic FROM named)
   SELECT {BY}, pair_rows, {S.rounded('ic_label', 'ic_pred_rank', 'ic_label_pred', 'partial_ic')} FROM partials""")
 def d12(spark, d):
-    rows = studied(spark, d)
-    daily = D.column_rank_correlations(rows, STUDIED, [LABEL, "pred_rank"], ["fold", "region", DATE], [ENTITY], MIN_ROWS, date_sizes(spark, d))
+    daily = daily_correlations(spark, d, [LABEL, "pred_rank"])
     daily = daily.withColumnsRenamed({f"ic_{LABEL}": "ic_label", f"ic_{LABEL}_pred_rank": "ic_label_pred"})
     defined = (F.abs("ic_pred_rank") < 0.999999) & (F.abs("ic_label_pred") < 0.999999)
     daily = daily.withColumn("partial_ic", F.when(defined, D.partial_correlation("ic_label", "ic_pred_rank", "ic_label_pred")))
     return shown(daily, "fold", "region", "feature", DATE, "pair_rows", "ic_label", "ic_pred_rank", "ic_label_pred", "partial_ic")
 
 
-MEANS_SQL = STUDY_SQL + """, means AS (SELECT fold, region, feature, avg(ic_residual) AS mean_ic, count(ic_residual) AS finite_days, count(DISTINCT trade_date) AS days
+MEANS_SQL = STUDY_SQL + """, means AS (SELECT fold, region, feature, avg(rv_rr) AS mean_ic, count(rv_rr) AS finite_days, count(DISTINCT trade_date) AS days
   FROM daily GROUP BY fold, region, feature),
-  families(feature, family) AS (VALUES """ + ", ".join(f"('{f}', '{catalog.CATEGORY[f]}')" for f in STUDIED) + ")"
+  families(feature, family) AS (VALUES """ + ", ".join(f"('{f}', '{catalog.CATEGORY.get(f, 'cross_section_rank')}')" for f in STUDIED) + ")"
 
 
 def means(spark, d):
@@ -316,7 +332,7 @@ _FAMILY = ("F1_mean", "F2_mean", "F3_mean", "F1_median", "F2_median", "F3_median
 @query("d15_family_summary", WIDE_SQL + f""", summary AS (SELECT region, family, count(*) AS feature_count, avg(F1) AS F1_mean, avg(F2) AS F2_mean, avg(F3) AS F3_mean,
     median(F1) AS F1_median, median(F2) AS F2_median, median(F3) AS F3_median, avg(s.mean_residual_ic) AS mean_residual_ic, median(s.mean_residual_ic) AS median_residual_ic,
     avg(abs(s.mean_residual_ic)) AS mean_absolute_ic, count(*) FILTER (same_direction) AS same_direction_count, count(*) FILTER (stable_meaningful) AS stable_count,
-    coalesce(array_to_string(list_slice(list(feature ORDER BY abs(s.mean_residual_ic) DESC) FILTER (stable_meaningful), 1, 5), ', '), '') AS stable_features
+    coalesce(array_to_string(list_slice(list(feature ORDER BY abs(s.mean_residual_ic) DESC, feature) FILTER (stable_meaningful), 1, 5), ', '), '') AS stable_features
     FROM stable s JOIN families USING (feature) GROUP BY region, family)
   SELECT region, family, feature_count, same_direction_count, stable_count, stable_features, {S.rounded(*_FAMILY)} FROM summary""")
 def d15(spark, d):

@@ -105,14 +105,6 @@ def c09(spark, d):
     return shown(rank_view(df, date_sizes(spark, d)), *KEYS, *_VIEW.values())
 
 
-@query("c10_rank_all", _rank_sql({n: f"ranked_{n}" for n in catalog.BASIC}, catalog.BASIC))
-def c10(spark, d):
-    df = basic_view(bars(spark, d))
-    out = all_ranked(df, date_sizes(spark, d), catalog.BASIC)
-    out = out.withColumnsRenamed({n: f"ranked_{n}" for n in catalog.BASIC})
-    return shown(out)
-
-
 @query("c11_prediction_rank", S.history(["ret_1"]) + f", preds AS (SELECT {ROWS}, coalesce(-ret_1, 0) AS pred FROM features), "
        f"ranked AS (SELECT {ROWS}, {S.pct('pred')} AS daily_rank FROM preds) SELECT {ROWS}, {S.rounded('daily_rank')} FROM ranked")
 def c11(spark, d):
@@ -121,14 +113,35 @@ def c11(spark, d):
     return shown(cross.percent_ranks(df, {"pred": "daily_rank"}, date_sizes(spark, d)), *KEYS, "daily_rank")
 
 
-def _full_sql():
-    entity = catalog.ENTITY_FEATURES
-    text = S.history(entity)
+def full_ctes(keep=("ts_code", "trade_date")):
+    """CTEs up to ``full_rows``: every column of the full view by its name."""
     days = [_day(MARKET_SQL[n], n) for n in MARKET_SQL]
     days += [f"{s} - median({s}) OVER (PARTITION BY trade_date) AS {n}" for n, s in _RELATIVE.items()]
     days += [f"{S.pct(s)} AS {o}" for s, o in _CSR.items()]
-    return (text + f", {AMOUNT_SQL}, days AS (SELECT features.*, " + ", ".join(days) + " FROM features) "
-            f"SELECT {ROWS}, {S.rounded(*catalog.FULL)} FROM days JOIN ratios USING (trade_date)")
+    return (S.history(catalog.ENTITY_FEATURES, keep=keep) + f", {AMOUNT_SQL}, days AS (SELECT features.*, " + ", ".join(days) + " FROM features), "
+            "full_rows AS (SELECT * FROM days JOIN ratios USING (trade_date))")
+
+
+def _full_sql():
+    return full_ctes() + f" SELECT {ROWS}, {S.rounded(*catalog.FULL)} FROM full_rows"
+
+
+def narrow(names):
+    """Values as they are compared in ranks over all columns: 32-bit floats."""
+    return ", ".join(f"CAST({n} AS FLOAT) AS {n}" for n in names)
+
+
+_RANKED = [n for n in catalog.FULL if catalog.CATEGORY[n] != "market"]
+_MARKET = [n for n in catalog.FULL if catalog.CATEGORY[n] == "market"]
+
+
+@query("c10_rank_all", full_ctes() + f", narrowed AS (SELECT {ROWS}, {', '.join(_MARKET)}, {narrow(_RANKED)} FROM full_rows), ranked AS (SELECT {ROWS}, {', '.join(_MARKET)}, "
+       + ", ".join(f"{S.pct(n)} AS ranked_{n}" for n in _RANKED) + f" FROM narrowed) SELECT {ROWS}, {S.rounded(*_MARKET, *[f'ranked_{n}' for n in _RANKED])} FROM ranked")
+def c10(spark, d):
+    """All 147 columns: the market ones as they are, the others ranked."""
+    sizes = date_sizes(spark, d)
+    out = all_ranked(full_view(bars(spark, d), sizes), sizes)
+    return shown(out.withColumnsRenamed({n: f"ranked_{n}" for n in _RANKED}))
 
 
 @query("w30_full_view", _full_sql())

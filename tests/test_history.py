@@ -146,3 +146,37 @@ def test_large_value_leaves_no_trace(spark):
     pd.testing.assert_frame_equal(a.iloc[30:], b.iloc[30:], check_exact=True)
     direct = plain["close"].pct_change().rolling(5).std(ddof=0)
     np.testing.assert_allclose(b["stdret_5"].iloc[30:], direct.iloc[30:], rtol=1e-9)
+
+
+def test_wide_views_equal_the_frames_column_by_column(spark):
+    """Array work against sliding frames, with gaps, flat stretches, spikes, non-positive values and batches that cut entities."""
+    one, two, three = walk("000001.SZ", n=200), walk("000002.SZ", seed=7, scale=1.7, n=90), walk("000003.SZ", seed=9, n=5)
+    one.loc[[30, 31, 90], ["close", "high"]] = np.nan
+    one.loc[60:125, ["open", "high", "low", "close"]] = 10.0
+    one.loc[150, ["open", "high", "low", "close"]] *= 1e6
+    one.loc[[20, 140], "vol"] = np.nan
+    one.loc[22:40, "vol"] = 500.0
+    two.loc[10, "low"], two.loc[11, "close"], two.loc[12, "vol"], two.loc[13, "amount"] = -1.0, 0.0, -5.0, 0.0
+    two.loc[40, "flag_limit_up"] = np.nan
+    df = panel(spark, pd.concat([one, two, three])).withColumn("note", F.concat(F.lit("n"), F.col(DATE).cast("string")))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "47")
+    try:
+        wide = collected(history_features(df, catalog.ENTITY_FEATURES, keep=[*KEYS, "note"], wide=True))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    narrow = collected(history_features(df, catalog.ENTITY_FEATURES, keep=[*KEYS, "note"], wide=False))
+    assert list(wide.columns) == list(narrow.columns) and len(wide) == 295
+    for n in catalog.ENTITY_FEATURES:
+        a, b = wide[n].to_numpy(float), narrow[n].to_numpy(float)
+        np.testing.assert_array_equal(np.isnan(a), np.isnan(b), err_msg=n)
+        np.testing.assert_allclose(a, b, rtol=1e-7, atol=1e-9, err_msg=n)
+
+
+def test_a_spike_leaves_no_trace_in_wide_views(spark):
+    plain = walk(n=150)
+    spiked = plain.copy()
+    spiked.loc[3, ["open", "high", "low", "close"]] *= 1e5
+    spiked.loc[3, "amount"] = 1e16
+    names = [n for n in catalog.ENTITY_FEATURES if not n.startswith("emadev_")]
+    a, b = (collected(history_features(panel(spark, f), names)) for f in (plain, spiked))
+    pd.testing.assert_frame_equal(a.iloc[70:], b.iloc[70:], check_exact=True)
