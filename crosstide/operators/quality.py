@@ -5,8 +5,8 @@ from functools import reduce
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from crosstide.functions.groups import GroupSizes, group_quantiles, row_limit
 from crosstide.functions.guards import all_present, count_true, finite, max_of, min_of, ratio
+from crosstide.functions.quantiles import exact_quantiles
 from crosstide.schema import DATE, ENTITY, KEYS, LABEL, PRICES
 
 LABEL_ATOL, LABEL_RTOL = 1e-10, 1e-8
@@ -191,15 +191,12 @@ QUANTILE_NAMES = ("min", "p01", "p25", "p50", "p75", "p99", "max")
 
 
 def column_quantiles(df, columns, by=()):
-    """Exact quantiles of each column, one row per column (and group)."""
+    """Exact quantiles of each column, one row per column (and group). The rows are read twice."""
     by = list(by)
-    rows = df.groupBy(*by).count().agg(F.count(F.lit(1)), F.max("count")).first()
-    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    columns_a_task = -(-len(columns) * max(rows[0], 1) // width)  # a task holds the values of this many groups at once
-    sizes = GroupSizes(rows[0], rows[1] or 0, row_limit(df.sparkSession)).scaled(columns_a_task)
-    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("value")) for c in columns]))
-    long = df.select(*by, cells.alias("_c")).select(*by, "_c.*")
-    found = group_quantiles(long, [*by, "column_name"], "value", QUANTILE_POINTS, sizes)
+    found = exact_quantiles(df, columns, QUANTILE_POINTS, by)
+    names = F.explode(F.array(*[F.lit(c) for c in columns])).alias("column_name")
+    groups = df.select(*by).distinct().select(*by, names) if by else df.sparkSession.range(1).select(names)
+    found = groups.join(found, [*by, "column_name"], "left")  # a column without any value keeps its row
     return found.select(*by, "column_name", *[F.col("quantiles")[i].alias(n) for i, n in enumerate(QUANTILE_NAMES)])
 
 

@@ -3,14 +3,16 @@
 from pyspark.sql import functions as F
 
 from crosstide import catalog
+from crosstide.functions.groups import pinned
 from crosstide.functions.guards import count_true, finite
 from crosstide.operators import quality as Q
 from crosstide.operators.evaluate import tradable
-from crosstide.operators.features import basic_view
+from crosstide.operators.features import basic_view, full_view
 from crosstide.operators.folds import Fold
 from crosstide.operators.history import history_features
 from crosstide.operators.targets import residual_rank
 from crosstide.plans import sqltext as S
+from crosstide.plans.date_features import full_ctes
 from crosstide.plans.labels import FOLDS, labelled
 from crosstide.plans.registry import date_sizes, query, shown
 from crosstide.plans.runs import PREDS, predictions
@@ -148,21 +150,21 @@ def a11(spark, d):
     return Q.label_patterns(labelled(spark, d))
 
 
-_PROFILED = list(catalog.BASIC)
+_PROFILED = list(catalog.FULL)
 
 
-@query("a12_exact_quantiles", S.history(_PROFILED) + " " + " UNION ALL ".join(
+@query("a12_exact_quantiles", full_ctes().replace("full_rows AS (", "full_rows AS MATERIALIZED (") + " " + " UNION ALL ".join(
     f"SELECT '{c}' AS column_name, " + ", ".join(f"round(quantile_cont({c}, {p}), 6) + 0.0 AS {n}" for p, n in
-                                                  zip(Q.QUANTILE_POINTS, Q.QUANTILE_NAMES)) + " FROM features" for c in _PROFILED))
+                                                  zip(Q.QUANTILE_POINTS, Q.QUANTILE_NAMES)) + " FROM full_rows" for c in _PROFILED))
 def a12(spark, d):
-    return shown(Q.column_quantiles(history_features(bars(spark, d), _PROFILED), _PROFILED))
+    return shown(Q.column_quantiles(pinned(full_view(bars(spark, d), date_sizes(spark, d))), _PROFILED))
 
 
-@query("a13_extremes", S.history(_PROFILED) + " " + " UNION ALL ".join(
-    f"(SELECT '{c}' AS column_name, '{k}' AS kind, {ROWS}, round({c}, 6) + 0.0 AS value FROM features WHERE {c} IS NOT NULL "
+@query("a13_extremes", full_ctes().replace("full_rows AS (", "full_rows AS MATERIALIZED (") + " " + " UNION ALL ".join(
+    f"(SELECT '{c}' AS column_name, '{k}' AS kind, {ROWS}, round({c}, 6) + 0.0 AS value FROM full_rows WHERE {c} IS NOT NULL "
     f"ORDER BY {c} {o}, ts_code, trade_date LIMIT 1)" for c in _PROFILED for k, o in (("min", "ASC"), ("max", "DESC"))))
 def a13(spark, d):
-    return shown(Q.extremes(history_features(bars(spark, d), _PROFILED), _PROFILED))
+    return shown(Q.extremes(full_view(bars(spark, d), date_sizes(spark, d)), _PROFILED))
 
 
 PRESENT = " + ".join(f"CAST({n} IS NOT NULL AS INTEGER)" for n in catalog.BASIC)
