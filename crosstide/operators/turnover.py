@@ -1,7 +1,7 @@
 """Turnover control: daily rank, causal smoothing, and a top set with hysteresis.
 
 Smoothing and hysteresis are recurrences, so their groups are ordered.  A smoothing group is one
-entity of one run: at most one row per date.  A hysteresis group is one run between two resets;
+entity of one run: at most one row per date; all entities of a task take each step together.  A hysteresis group is one run between two resets;
 it is folded in one task only while its row bound is small, and date by date with distributed
 cuts beyond that.
 """
@@ -11,6 +11,8 @@ import uuid
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -25,42 +27,66 @@ def daily_rank(df, run=(), sizes=None, pred="pred", out="rank"):
     return percent_ranks(df, {pred: out}, sizes, by=run)
 
 
-def _smoother(alphas, value, keys, has_prior):
-    """Exponential recursion over one entity's rows for every alpha."""
-    def smooth(frame):
-        frame = frame.sort_values(DATE, kind="stable")
-        x = frame[value].to_numpy(dtype=float)
-        if np.isnan(x).any():
-            raise ValueError("smoothing needs a rank in every row")
-        parts = []
-        for alpha in alphas:
-            keep, y = 1 - alpha, np.empty(len(x))
-            prior = float(frame["prior"].iloc[0]) if has_prior else math.nan
-            last = x[0] if math.isnan(prior) else alpha * x[0] + keep * prior
-            y[0] = last
-            for i in range(1, len(x)):
-                last = alpha * x[i] + keep * last
-                y[i] = last
-            parts.append(frame[keys].assign(alpha=alpha, smooth=y))
-        return pd.concat(parts, ignore_index=True)
-    return smooth
+def _smoother(alphas, value, group, out):
+    """The exponential recursion over sorted rows, for all entities of a batch and all weights at once.
+
+    Step t handles the t-th row of every entity; an entity that goes on in the next batch takes its last values with it."""
+    weights = np.array(alphas)
+
+    def same_as_before(batch):
+        same = np.ones(len(batch) - 1, bool)
+        for c in group:
+            column = batch.column(c)
+            same &= pc.equal(column[1:], column[:-1]).fill_null(True).to_numpy(zero_copy_only=False)
+        return same
+
+    def run(batches):
+        key, last = None, None
+        for batch in batches:
+            if not len(batch):
+                continue
+            x = batch.column(value).cast(pa.float64()).to_numpy(zero_copy_only=False)
+            if np.isnan(x).any():
+                raise ValueError("smoothing needs a rank in every row")
+            now = tuple(batch.column(c)[0].as_py() for c in group)
+            begins = np.append(True, ~same_as_before(batch)) if len(batch) > 1 else np.array([True])
+            y = np.empty((len(x), len(weights)))
+            first = np.flatnonzero(begins)
+            before = np.full((len(first), len(weights)), np.nan)
+            if "prior" in batch.schema.names:
+                before[:] = batch.column("prior").cast(pa.float64()).to_numpy(zero_copy_only=False)[first, None]
+            if now == key:
+                before[0] = last
+            start = x[first, None]
+            y[first] = np.where(np.isnan(before), start, weights * start + (1 - weights) * before)
+            place = np.arange(len(x)) - np.repeat(first, np.diff(np.append(first, len(x))))
+            order = np.argsort(place, kind="stable")
+            ends = np.searchsorted(place[order], np.arange(1, place.max() + 2))
+            for a, b in zip(ends[:-1], ends[1:]):
+                at = order[a:b]
+                y[at] = weights * x[at, None] + (1 - weights) * y[at - 1]
+            key, last = tuple(batch.column(c)[len(batch) - 1].as_py() for c in group), y[-1]
+            for j, alpha in enumerate(alphas):
+                done = batch.select(out).append_column("alpha", pa.array(np.full(len(x), alpha)))
+                yield done.append_column("smooth", pa.array(np.ascontiguousarray(y[:, j])))
+    return run
 
 
 def causal_ema(df, alphas, run=(), value="rank", prior=None, keep=()):
     """Smoothed value per run, entity, date and alpha, beside the columns named in ``keep``.
 
-    ``prior`` optionally gives each entity's last smoothed value from earlier dates.
+    ``prior`` optionally gives each entity's last smoothed value from earlier dates. One exchange by entity; a task streams its sorted rows.
     """
     if any(not 0 < a <= 1 for a in alphas):
         raise ValueError("alpha must be in (0, 1]")
-    keys = [*run, *KEYS, *keep]
-    rows = df.select(*keys, value)
+    keys = list(dict.fromkeys([*run, *KEYS, *keep]))
+    rows = df.select(*keys, *([] if value in keys else [value]))
     if prior is not None:
         rows = rows.join(prior.select(*run, ENTITY, F.col("smooth").alias("prior")), [*run, ENTITY], "left")
     types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", alpha double, smooth double"
-    return rows.groupBy(*run, ENTITY).applyInPandas(
-        _smoother([float(a) for a in alphas], value, keys, prior is not None), schema)
+    dealt = rows.repartition(*run, ENTITY).sortWithinPartitions(*run, ENTITY, DATE)
+    return dealt.mapInArrow(_smoother([float(a) for a in alphas], value, [*run, ENTITY], keys), schema)
 
 
 def exit_band(df, exits, run=(), min_pool=100, sizes=None):

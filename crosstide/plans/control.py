@@ -13,6 +13,8 @@ from crosstide.schema import DATE, ENTITY, KEYS, LABEL
 
 # The declared grid of smoothing weights and exit fractions.
 ALPHAS, EXITS = (1.0, 0.9, 0.8, 0.7, 0.6, 0.5), (0.1, 0.125, 0.15)
+# The extension of the grid, which shares the point (0.5, 0.15) with it.
+WIDER_ALPHAS, WIDER_EXITS = (0.5, 0.4, 0.3), (0.15, 0.175, 0.2, 0.225, 0.25)
 POINT = [*RUN, "alpha", "exit_fraction"]
 ROWS = "ts_code, trade_date"
 POOL = OFFICIAL_HERE.min_pool
@@ -84,9 +86,13 @@ def u02(spark, d):
     return U.hysteresis_sets(band, [*RUN, "alpha"]).select(*POINT, *KEYS)
 
 
-@query("u03_ordinal_prediction", control_sql((0.3,), (0.25,)) + f" SELECT model, fold, {ROWS}, selected, pred FROM controlled")
+WIDER_SQL = control_sql(WIDER_ALPHAS, WIDER_EXITS)
+
+
+@query("u03_ordinal_prediction", WIDER_SQL + f" SELECT model, fold, alpha, exit_fraction, {ROWS}, selected, pred FROM controlled")
 def u03(spark, d):
-    return controlled(spark, d, (0.3,), (0.25,)).select(*RUN, *KEYS, "selected", "pred")
+    """All 15 points of the extension."""
+    return controlled(spark, d, WIDER_ALPHAS, WIDER_EXITS).select(*POINT, *KEYS, "selected", "pred")
 
 
 @query("u04_full_control", control_sql() + f" SELECT model, fold, alpha, exit_fraction, trade_date, count(*) AS rows, "
@@ -112,6 +118,17 @@ def u05(spark, d):
     return shown(grid_scores(spark, d), *POINT, *_SCORE)
 
 
+@query("u05_extension_scores", WIDER_SQL + P.scored_sql("controlled", POINT) + P.summary_sql(POINT) + f""", anchor AS (SELECT model, fold, final_score AS anchor_score FROM scores WHERE alpha = 0.5 AND exit_fraction = 0.15)
+  SELECT model, fold, alpha, exit_fraction, {S.rounded(*_SCORE)}, round(final_score - anchor_score, 6) + 0.0 AS gain_over_anchor FROM scores JOIN anchor USING (model, fold)""")
+def u05_extension(spark, d):
+    """The 15 points of the extension, each beside the anchor (0.5, 0.15) that it shares with the first grid."""
+    from crosstide.functions.groups import pinned
+    scores = pinned(E.score(controlled(spark, d, WIDER_ALPHAS, WIDER_EXITS), OFFICIAL_HERE, POINT, date_sizes(spark, d)))
+    anchor = scores.filter("alpha = 0.5 AND exit_fraction = 0.15").select(*RUN, F.col("final_score").alias("_anchor"))
+    out = scores.join(F.broadcast(anchor), RUN).withColumn("gain_over_anchor", F.col("final_score") - F.col("_anchor"))  # one row per run
+    return shown(out, *POINT, *_SCORE, "gain_over_anchor")
+
+
 SELECT_SQL = """, chosen_rows AS (SELECT * FROM scores WHERE fold IN ({folds})),
   candidates AS (SELECT model, alpha, exit_fraction, avg(final_score) AS mean_score, min(final_score) AS worst_score,
     avg(mean_turnover) AS mean_turnover FROM chosen_rows GROUP BY model, alpha, exit_fraction),

@@ -51,14 +51,11 @@ def test_streamed_features_equal_batch_with_long_gaps(spark, tmp_path):
     names = ["ret_60", "stdret_60", "madev_5", "emadev_5", "emadev_60", "days_since_limit_up", "limit_up_count_60", "illiq_60"]
     path, out = str(tmp_path / "in"), str(tmp_path / "out")
     arrivals(spark, frame, [0, 50, 100, 145, 160, 220], path)
-    sink = T.FeatureStream(names, out, str(tmp_path / "tails"), str(tmp_path / "late"))
-    stream = T.stream_of(spark, path, panel(spark, frame).schema, 1)
-    T.run_to_end(stream.writeStream.foreachBatch(sink), str(tmp_path / "state"))
+    stream = T.feature_stream(T.stream_of(spark, path, panel(spark, frame).schema, 1), names)
+    T.run_to_end(stream.writeStream.outputMode("append").format("parquet").option("path", out), str(tmp_path / "state"))
     found = collected(spark.read.parquet(out).select(*KEYS, *names))
     expected = collected(history_features(panel(spark, frame), names))
     pd.testing.assert_frame_equal(found, expected, rtol=1e-9, check_dtype=False)
-    # 86 rows without a price before batch 3: the tail holds its bound and the last priced row.
-    assert spark.read.parquet(str(tmp_path / "tails" / "batch=2")).count() == T.TAIL_ROWS + 1
 
 
 def test_late_rows_are_dropped_and_counted(spark, tmp_path):
@@ -66,11 +63,12 @@ def test_late_rows_are_dropped_and_counted(spark, tmp_path):
     path, out = str(tmp_path / "in"), str(tmp_path / "out")
     arrivals(spark, frame, [0, 20], path)
     panel(spark, pd.concat([frame.iloc[5:7], frame.iloc[20:30], frame.iloc[25:26]])).coalesce(1).write.mode("append").parquet(path)
-    sink = T.FeatureStream(["ret_1"], out, str(tmp_path / "tails"), str(tmp_path / "late"))
     schema = panel(spark, frame).schema
-    T.run_to_end(T.stream_of(spark, path, schema, 1).writeStream.foreachBatch(sink), str(tmp_path / "state"))
-    assert spark.read.parquet(out).count() == 30
-    assert spark.read.parquet(str(tmp_path / "late")).first()["late_rows"] == 3
+    features = T.feature_stream(T.stream_of(spark, path, schema, 1), ["ret_1"])
+    T.run_to_end(features.writeStream.outputMode("append").format("parquet").option("path", out), str(tmp_path / "state"))
+    found = spark.read.parquet(out).orderBy(DATE).toPandas()
+    assert len(found) == 30 and found.late_rows.iloc[-1] == 3
+    pd.testing.assert_series_equal(found.ret_1, collected(history_features(panel(spark, frame), ["ret_1"])).ret_1)
     ranked = T.causal_ema_stream(T.stream_of(spark, path, schema, 1).withColumn("rank", F.col("close")), 0.3)
     ema = str(tmp_path / "ema")
     T.run_to_end(ranked.writeStream.outputMode("append").format("parquet").option("path", ema), str(tmp_path / "state2"))
@@ -78,3 +76,18 @@ def test_late_rows_are_dropped_and_counted(spark, tmp_path):
     expected = frame.close.ewm(alpha=0.3, adjust=False).mean()
     np.testing.assert_allclose(rows.smooth, expected, rtol=1e-12)
     assert rows.late_rows.iloc[-1] == 3
+
+
+def test_profile_counts_late_rows(spark, tmp_path):
+    frame = walk(n=30)
+    frame.loc[25, "amount"], frame.loc[26, "amount"] = np.nan, 0.0
+    path = str(tmp_path / "in")
+    arrivals(spark, frame, [0, 20, 28], path)
+    panel(spark, pd.concat([frame.iloc[5:7], frame.iloc[28:30], frame.iloc[27:28]])).coalesce(1).write.mode("append").parquet(path)
+    sink = T.ProfileStream("amount", str(tmp_path / "out"), str(tmp_path / "late"))
+    T.run_to_end(T.stream_of(spark, path, panel(spark, frame).schema, 1).writeStream.foreachBatch(sink), str(tmp_path / "state"))
+    found = sink.profile(spark).orderBy(DATE).toPandas()
+    assert found.rows.tolist() == [1] * 27 + [2, 1, 1]  # the 28th day came twice within the delay
+    assert found.late_rows.tolist() == [0] * 5 + [1, 1] + [0] * 23
+    assert found.missing.sum() == 1 and found.zero.sum() == 1 and found.finite_max[29] == frame.amount[29]
+    assert [spark.read.parquet(str(tmp_path / "late" / f"batch={b}")).first()["late_rows"] for b in range(3)] == [0, 0, 2]
