@@ -5,15 +5,18 @@ one node. Two small collections of `HALVES` half keys, each of `WIDTH` minima, a
 with every half of the second is a table key. So 2 x 8 x 2 = 32 minima give the 64 keys of four minima that would take 256. A pair of
 similarity s shares no key with probability 1 - (1 - (1 - s^2)^8)^2: 0.0006 at 0.8, 0.000003 at 0.9.
 
-Every pair that shares a key is compared on its full sets unless it is in one component already, in four steps:
-1. each node with the leader (least node of a key) with which it shares most keys;
+Every pair that shares a key is compared on its full sets unless it is in one component already or cannot be similar, in four steps:
+1. each node with the leader with which it shares most keys. A key's leader is its most central node, whose keys hold most nodes: in a group of
+   near copies that is a text near the common origin, which links whatever can be linked;
 2. keys of at most `hot` nodes: all pairs between components; larger keys: the leader with all others outside its component;
-3. keys of more than `hot` nodes that still hold two components (a passage that very many different texts share): their nodes are asked
-   anew by an exact prefix filter. Shingles are ordered from rare to frequent; similar sets must share one of the first
-   n - ceil(s n) + 1. These shingles are the keys of steps 1 and 2, and the common passage is not among them;
+3. keys of more than `hot` nodes that still hold two components (a passage that very many different texts share, or copies changed too much):
+   their nodes are asked anew by an exact prefix filter. Shingles that no other asked node has cannot be shared; those that remain are
+   ordered from rare to frequent. Sets of n and at least l shingles are similar only if they share ceil(s (n + l) / (1 + s)) of them, so they share
+   one of the first n + 1 less that number. Partners' sizes are taken by classes, and a key is a shingle with both classes;
 4. prefix keys that are still large and open go in rounds: round r compares the next of a key's nodes, about 8^r, with all others outside
    their component, until the key lies in one component or all its nodes were compared.
-A group of n near copies costs about n comparisons in step 1; nothing is dropped or capped. A set travels once per comparison."""
+A pair is left out only where its sizes, or the shingles that either side shares with any asked node, are too few for the similarity. A group
+of n near copies costs about n comparisons in step 1; nothing is dropped or capped. A set travels once per comparison."""
 
 from __future__ import annotations
 
@@ -24,7 +27,7 @@ from pyspark.sql import functions as F
 
 from crosstide.llm.common import LAST_ID, Scratch, components, text_bytes
 
-PERCENT, HALVES, WIDTH, HOT, SALTS, SEED = 80, 8, 2, 32, 16, 42
+PERCENT, HALVES, WIDTH, HOT, SALTS, SEED, STEP = 80, 8, 2, 32, 16, 42, 1.05
 
 
 def _odd(seed: int, *shape: int) -> np.ndarray:
@@ -85,7 +88,7 @@ def _texts(rows: DataFrame) -> DataFrame:
 
 
 def keyed(nodes: DataFrame) -> DataFrame:
-    """(key, node, n): the table keys of every node with a shingle."""
+    """(key, node, n, m): the table keys of every node with a shingle. m: how many of its n shingles another node may share."""
     def run(batches):
         for batch in batches:
             halves = np.frombuffer(b"".join(batch.column("halves").to_pylist()), np.uint64)
@@ -94,7 +97,7 @@ def keyed(nodes: DataFrame) -> DataFrame:
                 "key": pa.array(table_keys(halves).ravel().view(np.int64)), "node": pa.array(np.repeat(batch.column("node").to_numpy(zero_copy_only=False), size)),
                 "n": pa.array(np.repeat(batch.column("n").to_numpy(zero_copy_only=False), size))})
 
-    return nodes.filter("n > 0").select("node", "n", "halves").mapInArrow(run, "key long, node long, n long")
+    return nodes.filter("n > 0").select("node", "n", "halves").mapInArrow(run, "key long, node long, n long").withColumn("m", F.col("n"))
 
 
 class Links:
@@ -108,8 +111,10 @@ class Links:
         self.turn += 1
         return f"{of}{self.turn}"
 
-    def sizes_fit(self, x: str, y: str):
-        return F.least(x, y) * 100 >= F.greatest(x, y) * self.percent
+    def fit(self, x: str = "", y: str = ""):
+        """Whether two nodes may be similar by their sizes n and shareable shingles m (columns with the prefixes x and y)."""
+        n, m = (f"{x}n", f"{y}n"), (f"{x}m", f"{y}m")
+        return (F.least(*n) * 100 >= F.greatest(*n) * self.percent) & (F.least(*m) * (100 + self.percent) >= (F.col(n[0]) + F.col(n[1])) * self.percent)
 
     def grouped(self, df: DataFrame, *of: tuple[str, str]) -> DataFrame:
         """Adds the component of each named node."""
@@ -149,21 +154,25 @@ class Links:
         return now.join(still, "key")
 
     def link(self, keys: DataFrame, sets_of, exact: bool = False) -> None:
-        """Steps 1 and 2 over keys (key, node, n), then 3 (or 4 if these are exact keys already). sets_of(nodes) gives (node, set)."""
+        """Steps 1 and 2 over keys (key, node, n, m), then 3 (or 4 if these are exact keys already). sets_of(nodes) gives (node, set)."""
         scratch, hot = self.scratch, self.hot
-        sizes = keys.groupBy("key").agg(F.min(F.struct("node", "n")).alias("lead"), F.count("*").alias("size")).filter("size > 1")
-        shared = scratch.table(self.name("shared"), keys.join(sizes, "key").select("key", "size", "node", "n", F.col("lead.node").alias("lead"), F.col("lead.n").alias("lead_n")))
+        sizes = keys.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+        met = scratch.table(self.name("met"), keys.join(sizes, "key"))
+        ranked = met.join(met.groupBy("node").agg(F.sum("size").alias("central")), "node")
+        leads = ranked.groupBy("key").agg(F.max(F.struct("central", "node", "n", "m")).alias("lead"))
+        leads = leads.select("key", F.col("lead.node").alias("lead"), F.col("lead.n").alias("lead_n"), F.col("lead.m").alias("lead_m"))
+        shared = scratch.table(self.name("shared"), met.join(leads, "key"))
         sets = scratch.table(self.name("sets"), sets_of(shared.select("node").distinct()))
-        led = shared.filter(F.col("node") != F.col("lead")).filter(self.sizes_fit("n", "lead_n"))
+        led = shared.filter(F.col("node") != F.col("lead")).filter(self.fit("", "lead_"))
         first = led.groupBy("node", "lead").count().groupBy("node").agg(F.max(F.struct("count", "lead")).alias("best"))
-        first = scratch.table(self.name("pairs"), first.select(F.col("best.lead").alias("a"), F.col("node").alias("b")))
+        first = scratch.table(self.name("pairs"), first.select(F.least("best.lead", "node").alias("a"), F.greatest("best.lead", "node").alias("b")).distinct())
         self.confirm(first, sets)
         open_ = scratch.table(self.name("open"), self.open_keys(shared))
         few, many = open_.filter(F.col("size") <= hot), open_.filter(F.col("size") > hot)
-        other = few.select("key", F.col("node").alias("other"), F.col("n").alias("other_n"), F.col("c").alias("other_c"))
-        pairs = few.join(other, "key").filter("other < node AND other_c <> c").filter(self.sizes_fit("n", "other_n")).select(F.col("other").alias("a"), F.col("node").alias("b"))
-        led = self.grouped(many.filter(F.col("node") != F.col("lead")).filter(self.sizes_fit("n", "lead_n")), ("lead", "lead_c"))
-        pairs = pairs.union(led.filter("lead_c <> c").select(F.col("lead").alias("a"), F.col("node").alias("b"))).distinct()
+        other = few.select("key", F.col("node").alias("other"), F.col("n").alias("other_n"), F.col("m").alias("other_m"), F.col("c").alias("other_c"))
+        pairs = few.join(other, "key").filter("other < node AND other_c <> c").filter(self.fit("", "other_")).select(F.col("other").alias("a"), F.col("node").alias("b"))
+        led = self.grouped(many.filter(F.col("node") != F.col("lead")).filter(self.fit("", "lead_")), ("lead", "lead_c"))
+        pairs = pairs.union(led.filter("lead_c <> c").select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b"))).distinct()
         self.confirm(pairs.join(first, ["a", "b"], "left_anti"), sets)
         large = scratch.table(self.name("large"), self.open_keys(many.drop("c")))
         if not large.isEmpty():
@@ -174,13 +183,20 @@ class Links:
                 self.link(self.prefixes(nodes, sets), lambda some: sets.join(some, "node", "left_semi"), exact=True)
 
     def prefixes(self, nodes: DataFrame, sets: DataFrame) -> DataFrame:
-        """(key, node, n): each set's rarest shingles, enough that similar sets share one."""
+        """(key, node, n, m): for each size class of partners, a set's rarest shareable shingles, enough that similar sets share one."""
+        s, size_class = self.percent, lambda n: F.floor(F.ln(n.cast("double")) / float(np.log(STEP)) + 1e-9)
         cells = sets.join(nodes, "node").select("node", "n", F.explode("set").alias("shingle"))
-        counts = cells.groupBy("shingle").agg(F.count("*").alias("count"))
-        order = F.sort_array(F.collect_list(F.struct("count", "shingle")))  # as long as one set
-        ranked = cells.join(counts, "shingle").groupBy("node", "n").agg(order.alias("order"))
-        prefix = F.slice("order", 1, (F.col("n") - F.ceil(F.col("n") * self.percent / 100) + 1).cast("int"))
-        return self.scratch.table(self.name("prefixes"), ranked.select(F.explode(prefix).alias("p"), "node", "n").filter("p.count > 1").select(F.col("p.shingle").alias("key"), "node", "n"))
+        counts = cells.groupBy("shingle").agg(F.count("*").alias("count")).filter("count > 1")
+        ranked = cells.join(counts, "shingle").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("count", "shingle"))).alias("order"))  # as long as one set
+        ranked = ranked.withColumns({"m": F.size("order").cast("long"), "own": size_class(F.col("n"))}).filter(F.col("m") * 100 >= F.col("n") * s)
+        lowest = size_class(F.floor(F.col("n") * s / 100)) - 1  # one class beyond, against rounding
+        ranked = ranked.withColumn("other", F.explode(F.sequence(lowest, size_class(F.ceil(F.col("n") * 100 / s)) + 1)))
+        least = F.greatest(F.floor(F.pow(F.lit(STEP), F.col("other").cast("double")) - 1e-6), F.floor(F.col("n") * s / 100), F.lit(1))
+        needed = F.ceil((F.col("n") + least) * s / (100 + s) - 1e-9)
+        # the n - m shingles that nobody shares come first in the order
+        prefix = F.slice("order", 1, F.greatest(F.col("n") - needed + 1 - (F.col("n") - F.col("m")), F.lit(0)).cast("int"))
+        key = F.xxhash64(F.least("own", "other"), F.greatest("own", "other"), "p.shingle")
+        return self.scratch.table(self.name("prefixes"), ranked.select("node", "n", "m", "own", "other", F.explode(prefix).alias("p")).select(key.alias("key"), "node", "n", "m"))
 
     def rounds(self, large: DataFrame, sets: DataFrame) -> None:
         """Step 4."""
@@ -191,8 +207,8 @@ class Links:
                 return
             place = F.pmod(F.xxhash64("node"), F.col("size"))
             lead = now.filter((place >= done) & (place < upto))
-            lead = lead.select("key", F.col("node").alias("x"), F.col("n").alias("x_n"), F.col("c").alias("x_c"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-            met = now.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(lead, ["key", "salt"]).filter("c <> x_c").filter(self.sizes_fit("n", "x_n"))
+            lead = lead.select("key", F.col("node").alias("x"), F.col("n").alias("x_n"), F.col("m").alias("x_m"), F.col("c").alias("x_c"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+            met = now.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(lead, ["key", "salt"]).filter("c <> x_c").filter(self.fit("", "x_"))
             self.confirm(met.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct(), sets)
             done, upto = upto, 8 * upto
 
@@ -216,7 +232,7 @@ def linked(scratch: Scratch, rows: DataFrame, words: int, percent: int = PERCENT
     found = Links(scratch, percent, hot)
     if more is not None:
         node = lambda side: marks.select(F.col("row").alias(side), F.col("node").alias(f"{side}_node"), F.col("n").alias(f"{side}_n"))
-        pairs = more.join(node("a"), "a").join(node("b"), "b").filter("a_node <> b_node AND a_n > 0 AND b_n > 0").filter(found.sizes_fit("a_n", "b_n"))
+        pairs = more.join(node("a"), "a").join(node("b"), "b").withColumns({"a_m": F.col("a_n"), "b_m": F.col("b_n")}).filter("a_node <> b_node AND a_n > 0 AND b_n > 0").filter(found.fit("a_", "b_"))
         pairs = scratch.table("given", pairs.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct())
         found.confirm(pairs, sets_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()))
     found.link(keyed(nodes), sets_of)
