@@ -1,8 +1,8 @@
 """Lexical retrieval packing into fixed windows of tokens.
 
 Documents are encoded once and stored. Document frequencies, the number of documents and their mean length are taken over all
-rows. Rows are then sent to shards by content: a hashed sample of at most `pivots` rows stands for the table, each row asks this
-sample with all its terms, and rows are range-partitioned and sorted by their best pivot (similar pivots lie side by side), their
+rows. Rows are then sent to shards by content: a hashed sample of at most `pivots` whole rows stands for the table, each row asks this
+sample with all its terms (one dense row of BM25 weights a term: at most vocabulary x pivots numbers in a task), and rows are range-partitioned and sorted by their best pivot (similar pivots lie side by side), their
 second best and their row number. So related documents of the whole table meet, and a hot pivot is split by the columns behind it.
 A shard is a run of that order: at most `shard_docs` rows and about `shard_bytes` bytes of ids, across Arrow batches.
 
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from crosstide.llm import tokens
 from crosstide.llm.common import Scratch, text_bytes
 
-WINDOW, SHARD_DOCS, SHARD_BYTES, PIVOTS, PIVOT_TOKENS = 1024, 2048, 8 << 20, 1024, 4096
+WINDOW, SHARD_DOCS, SHARD_BYTES, PIVOTS, GATHER = 1024, 2048, 8 << 20, 1024, 256
 K1, B = 1.2, 0.75
 
 
@@ -71,11 +71,38 @@ class Index:
         """BM25 scores of all documents for the terms of the seed."""
         return self.of(self.terms[seed])
 
-    def asked(self, ids: np.ndarray) -> np.ndarray:
-        """BM25 scores of all documents for any text's ids."""
-        ids = np.unique(ids)
-        at = np.minimum(np.searchsorted(self.term, ids), max(len(self.term) - 1, 0))
-        return self.of(at[self.term[at] == ids] if len(self.term) else at[:0])
+
+class Pivots:
+    """BM25 weights of a few documents, asked with whole texts. Kept as (term, document, weight) and laid out densely where they are used."""
+
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], whole: Whole):
+        """rows: the distinct ids and their frequencies for each document."""
+        self.n = len(rows)
+        self.term = np.concatenate([ids for ids, _ in rows]).astype(np.int64) if rows else np.zeros(0, np.int64)
+        self.doc = np.repeat(np.arange(self.n), [len(ids) for ids, _ in rows])
+        tf = np.concatenate([tf for _, tf in rows]).astype(float) if rows else np.zeros(0)
+        length = np.bincount(self.doc, tf, self.n)
+        idf = np.log1p((whole.n - whole.df[self.term] + 0.5) / (whole.df[self.term] + 0.5))
+        self.weight = (idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[self.doc] / max(whole.mean, 1)))).astype(np.float32)
+
+    def dense(self, first: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The line of each id (0: no pivot has it) and the lines of weights for all, or the first, pivots."""
+        known = np.unique(self.term)
+        line = np.zeros(int(known.max(initial=-1)) + 2, np.int32)
+        line[known] = np.arange(1, len(known) + 1)
+        use = self.doc < (first or self.n)
+        table = np.zeros((len(known) + 1, first or self.n), np.float32)
+        table[line[self.term[use]], self.doc[use]] = self.weight[use]
+        return line, table
+
+
+def asked(ids: np.ndarray, line: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """BM25 scores of all pivots for a text's ids."""
+    lines = line[np.minimum(np.unique(ids), len(line) - 1)]
+    lines, score = lines[lines > 0], np.zeros(table.shape[1], np.float32)
+    for a in range(0, len(lines), GATHER):
+        score += table[lines[a:a + GATHER]].sum(axis=0)
+    return score
 
 
 def order_of(docs: list[np.ndarray], window: int = WINDOW, query_terms: int | None = None, whole: Whole | None = None) -> list[int]:
@@ -186,22 +213,30 @@ def counted(rows: DataFrame) -> Whole:
 
 def by_content(scratch: Scratch, rows: DataFrame, whole: Whole, pivots: int = PIVOTS) -> DataFrame:
     """Encoded rows in the order of their best pivots, range-partitioned."""
+    def frequencies(batches):
+        for batch in batches:
+            found = [np.unique(ids, return_counts=True) for ids in rows_of(batch)]
+            yield pa.RecordBatch.from_pydict({"mark": batch.column("mark"), "ids": pa.array([x.astype("<u4").tobytes() for x, _ in found], pa.binary()), "tf": pa.array([n.astype("<i8").tobytes() for _, n in found], pa.binary())})
+
     mark = F.xxhash64("row")  # distinct for distinct rows
     last = rows.select(mark.alias("mark")).orderBy("mark").limit(pivots).agg(F.max("mark")).first()[0]
-    sample = rows.filter(mark <= F.lit(last)).orderBy(mark).select("row", F.expr(f"substring(ids, 1, {4 * PIVOT_TOKENS})").alias("ids")).collect()
-    texts = [np.frombuffer(r.ids, "<u4") for r in sample]
-    index = Index(texts, whole=whole)
+    sample = rows.filter(mark <= F.lit(last)).select(mark.alias("mark"), "ids").mapInArrow(frequencies, "mark long, ids binary, tf binary")
+    texts = [(np.frombuffer(r.ids, "<u4"), np.frombuffer(r.tf, "<i8")) for r in sample.orderBy("mark").collect()]  # pivots x vocabulary at most
+    index = Pivots(texts, whole)
     heads = max(1, len(texts) // 16)  # pivots are laid out by the best of the first few
-    head = [int(index.asked(t)[:heads].argmax()) for t in texts]
+    line, table = index.dense(heads)
+    head = [int(asked(ids, line, table).argmax()) if len(texts) else 0 for ids, _ in texts]
     place = np.empty(len(texts), np.int32)
     place[np.lexsort((np.arange(len(texts)), head))] = np.arange(len(texts), dtype=np.int32)
-    del index.terms, texts
+    del texts, line, table
 
     def run(batches):
+        weights = None
         for batch in batches:
+            weights = weights or index.dense()
             best = np.zeros((len(batch), 2), np.int32)
             for k, ids in enumerate(rows_of(batch)):
-                score = index.asked(ids)
+                score = asked(ids, *weights)
                 best[k, 0] = score.argmax()
                 score[best[k, 0]] = -1
                 best[k, 1] = score.argmax()

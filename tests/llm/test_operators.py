@@ -317,3 +317,16 @@ def test_pipeline_keeps_what_it_should(spark, folder, tmp_path):
         out.write.parquet(str(tmp_path / name))
         assert spark.read.parquet(str(tmp_path / name)).count() > 0
         docs = spark.read.parquet(str(tmp_path / name))
+
+
+def test_pivots_give_the_scores_of_the_index():
+    rng = np.random.default_rng(8)
+    docs = [rng.integers(0, 300, n).astype(np.uint32) for n in (5, 40, 900, 6000, 1)]
+    whole = packing.Whole(1000, 50.0, rng.integers(1, 900, 301))
+    index, pivots = packing.Index(docs, whole=whole), packing.Pivots([np.unique(d, return_counts=True) for d in docs], whole)
+    line, table = pivots.dense()
+    for k, d in enumerate(docs):
+        got = packing.asked(np.append(d, 5000).astype(np.uint32), line, table)
+        wanted = [sum(index.weight[(index.doc == j) & (np.repeat(index.term, np.diff(index.first)) == t)].sum() for t in set(d.tolist())) for j in range(5)]
+        np.testing.assert_allclose(got, wanted, rtol=1e-4)
+        np.testing.assert_allclose(packing.asked(d, *pivots.dense(3)), wanted[:3], rtol=1e-4)
