@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from crosstide.llm.common import Scratch
+
 K, EVERY, SCALE, BLOCK, SEGMENTS = 5, 50, 256, 2048, (1, 4, 16)
 
 
@@ -94,6 +96,7 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE
     asked = rows.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
     width = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     q = _blocks(asked, block, True).select("dim", F.col("block").alias("qb"), F.col("ids").alias("q_ids"), F.col("values").alias("q"))
+    q = Scratch(vectors.sparkSession).table("queries", q)  # numbers and contents are read apart: a recomputed task might deal rows otherwise
     c = _blocks(rows, block, False)
     numbers = q.select("dim", "qb")  # a few numbers a block: pairs of blocks, then their contents by number
     work = c.join(numbers, "dim").join(q, ["dim", "qb"]).repartition(width, "block", "qb")
