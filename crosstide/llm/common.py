@@ -121,7 +121,8 @@ CHUNKS = "chunk_id long, n_docs long, n_bytes long, ids binary, offsets binary,
 def chunked(docs: DataFrame, size: int, keep: bool = False) -> DataFrame:
     """Whole documents gathered into compressed chunks of about `size` bytes. doc_id and text are carried, and with keep every
     column (as an Arrow stream in `rest`). A chunk id is unique; the table must be stored before it is used twice."""
-    columns = [F.col("doc_id").cast("long").alias("__id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("__text")]
+    own_id, own_text = unused("__id", docs.columns), unused("__text", docs.columns)
+    columns = [F.col("doc_id").cast("long").alias(own_id), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias(own_text)]
     columns += [F.col(f"`{c}`") for c in docs.columns if c != "text"] if keep else []
 
     def chunks(batches):
@@ -129,13 +130,13 @@ def chunked(docs: DataFrame, size: int, keep: bool = False) -> DataFrame:
 
         number = TaskContext.get().partitionId() << 33
         for batch in batches:
-            offsets, data = text_bytes(batch, "__text")
-            ids = ids_of(batch.column("__id"))
+            offsets, data = text_bytes(batch, own_text)
+            ids = ids_of(batch.column(own_id))
             for a, b in cuts(offsets, size):
                 rest = b""
                 if keep:
                     sink = pa.BufferOutputStream()
-                    part = batch.slice(a, b - a).drop_columns(["__id", "__text"])
+                    part = batch.slice(a, b - a).drop_columns([own_id, own_text])
                     with pa.ipc.new_stream(sink, part.schema) as writer:
                         writer.write_batch(part)
                     rest = packed(sink.getvalue().to_pybytes())

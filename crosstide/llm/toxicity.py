@@ -176,9 +176,10 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, limit: int =
     return Model(weights, model.exceptions, _fitted(fit[["a", "b"]].to_numpy(), fit["toxic"].to_numpy()))
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """Every column of docs, and a score from 0 to 1."""
-    name = "__score"
+def scored(docs: DataFrame, model: Model, name: str = "__score") -> DataFrame:
+    """Every column of docs, and a score from 0 to 1 under a name that docs must not have."""
+    if name.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"docs has a column {name}; give the score another name")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
     def run(batches):
