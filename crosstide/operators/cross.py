@@ -4,8 +4,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from crosstide import catalog
+from crosstide.functions import rank_kernel
 from crosstide.functions.groups import average_ranks, group_median, measure, pinned, small_side, spread
 from crosstide.functions.guards import EPS, ratio
+from crosstide.operators.cross_kernel import with_date_columns
 from crosstide.schema import DATE, KEYS
 
 AMOUNT_WINDOW = 20
@@ -76,9 +78,13 @@ def percent_ranks(df, columns, sizes=None, by=(), keys=KEYS):
     return average_ranks(df, columns, [*by, DATE], [*by, *keys], sizes)
 
 
-def cross_features(df, panel, sizes=None):
-    """The 34 same-date columns, added to per-entity features."""
+def cross_features(df, panel, sizes=None, arrays=None):
+    """The 34 same-date columns, added to per-entity features.
+
+    Dates whose cells fit a task are computed as arrays (``arrays`` forces either way)."""
     sizes = sizes or measure(panel, [DATE])
+    if rank_kernel.fits(sizes, len(df.columns)) if arrays is None else arrays:
+        return with_date_columns(df).join(small_side(amount_ratio(panel), sizes), DATE)
     df = df if sizes.fits else pinned(df)
     medians = dict.fromkeys([f"ret_{w}" for w in (1, 5, 20)] + list(catalog.RELATIVE_SOURCES.values()))
     out = date_statistics(df, _market_aggregates(), list(medians), sizes)

@@ -244,7 +244,9 @@ BY = "fold, region, feature, trade_date"
 
 def study_sql(against):
     """CTEs up to ``daily``: correlations of every feature with the compared columns (a name to its abbreviation)."""
-    ranked = ", ".join(f"{avg_rank(c, BY)} AS {short}" for c, short in {"value": "rv", **against}.items())
+    # The first and the last place among equal values, from one sort a column.
+    ranked = ", ".join(f"(rank() OVER w_{short} + round(cume_dist() OVER w_{short} * count(*) OVER (PARTITION BY {BY}))) / 2 AS {short}" for short in ("rv", *against.values()))
+    ranked += " FROM long_rows WINDOW " + ", ".join(f"w_{short} AS (PARTITION BY {BY} ORDER BY {c})" for c, short in {"value": "rv", **against}.items())
     pairs = [("rv", short) for short in against.values()]
     shorts = list(against.values())
     pairs += [(y, x) for i, x in enumerate(shorts) for y in shorts[i + 1:]]
@@ -257,7 +259,7 @@ def study_sql(against):
   regions AS (SELECT *, label_rank - pred_rank AS residual, 'full' AS region FROM ranks UNION ALL SELECT *, label_rank - pred_rank, 'top20' FROM ranks WHERE pred_rank > 0.8
     UNION ALL SELECT *, label_rank - pred_rank, 'middle60' FROM ranks WHERE pred_rank > 0.2 AND pred_rank <= 0.8),
   long_rows AS (UNPIVOT regions ON {', '.join(STUDIED)} INTO NAME feature VALUE value),
-  long_ranks AS (SELECT {BY}, {ranked} FROM long_rows),
+  long_ranks AS (SELECT {BY}, {ranked}),
   daily AS (SELECT {BY}, count(*) AS pair_rows, {found} FROM long_ranks GROUP BY {BY} HAVING count(*) >= {MIN_ROWS})"""
 
 

@@ -180,3 +180,24 @@ def test_a_spike_leaves_no_trace_in_wide_views(spark):
     names = [n for n in catalog.ENTITY_FEATURES if not n.startswith("emadev_")]
     a, b = (collected(history_features(panel(spark, f), names)) for f in (plain, spiked))
     pd.testing.assert_frame_equal(a.iloc[70:], b.iloc[70:], check_exact=True)
+
+
+def test_same_date_arrays_equal_the_windows(spark):
+    from crosstide.operators.cross import cross_features
+
+    frames = [walk(f"{k:06d}.SZ", n=60 + k, seed=k, scale=1 + k % 3) for k in range(9)]
+    frames[2].loc[10:30, "close"] = np.nan
+    frames[3]["close"] = 5.0
+    df = panel(spark, pd.concat(frames))
+    rows = history_features(df, catalog.ENTITY_FEATURES, keep=[*KEYS]).persist()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        a = collected(cross_features(rows, df, arrays=True))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    b = collected(cross_features(rows, df, arrays=False))
+    assert len(a) == len(b) == sum(map(len, frames))
+    for n in catalog.DATE_FEATURES:
+        x, y = a[n].to_numpy(float), b[n].to_numpy(float)
+        np.testing.assert_array_equal(np.isnan(x), np.isnan(y), err_msg=n)
+        np.testing.assert_allclose(x, y, rtol=1e-9, atol=1e-11, err_msg=n)
