@@ -88,7 +88,7 @@ def _texts(rows: DataFrame) -> DataFrame:
 
 
 def keyed(nodes: DataFrame) -> DataFrame:
-    """(key, node, n, m): the table keys of every node with a shingle. m: how many of its n shingles another node may share."""
+    """(key, node, n, m, side): the table keys of every node with a shingle. m: how many of its n shingles another node may share."""
     def run(batches):
         for batch in batches:
             halves = np.frombuffer(b"".join(batch.column("halves").to_pylist()), np.uint64)
@@ -97,7 +97,7 @@ def keyed(nodes: DataFrame) -> DataFrame:
                 "key": pa.array(table_keys(halves).ravel().view(np.int64)), "node": pa.array(np.repeat(batch.column("node").to_numpy(zero_copy_only=False), size)),
                 "n": pa.array(np.repeat(batch.column("n").to_numpy(zero_copy_only=False), size))})
 
-    return nodes.filter("n > 0").select("node", "n", "halves").mapInArrow(run, "key long, node long, n long").withColumn("m", F.col("n"))
+    return nodes.filter("n > 0").select("node", "n", "halves").mapInArrow(run, "key long, node long, n long").withColumns({"m": F.col("n"), "side": F.lit(2)})
 
 
 class Links:
@@ -112,9 +112,10 @@ class Links:
         return f"{of}{self.turn}"
 
     def fit(self, x: str = "", y: str = ""):
-        """Whether two nodes may be similar by their sizes n and shareable shingles m (columns with the prefixes x and y)."""
+        """Whether two nodes may be similar by their sizes n and shareable shingles m, and a key is meant for both (columns with the prefixes
+        x and y): sides are 0 and 1 where a key joins two size classes, and 2 where all nodes may meet."""
         n, m = (f"{x}n", f"{y}n"), (f"{x}m", f"{y}m")
-        return (F.least(*n) * 100 >= F.greatest(*n) * self.percent) & (F.least(*m) * (100 + self.percent) >= (F.col(n[0]) + F.col(n[1])) * self.percent)
+        return ((F.col(f"{x}side") + F.col(f"{y}side")) % 3 == 1) & (F.least(*n) * 100 >= F.greatest(*n) * self.percent) & (F.least(*m) * (100 + self.percent) >= (F.col(n[0]) + F.col(n[1])) * self.percent)
 
     def grouped(self, df: DataFrame, *of: tuple[str, str]) -> DataFrame:
         """Adds the component of each named node."""
@@ -154,13 +155,13 @@ class Links:
         return now.join(still, "key")
 
     def link(self, keys: DataFrame, sets_of, exact: bool = False) -> None:
-        """Steps 1 and 2 over keys (key, node, n, m), then 3 (or 4 if these are exact keys already). sets_of(nodes) gives (node, set)."""
-        scratch, hot = self.scratch, self.hot
-        sizes = keys.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+        """Steps 1 and 2 over keys (key, node, n, m, side), then 3 (or 4 if these are exact keys already). sets_of(nodes) gives (node, set)."""
+        scratch, hot, started = self.scratch, self.hot, self.turn
+        sizes = keys.groupBy("key").agg(F.count("*").alias("size"), F.min("side").alias("low"), F.max("side").alias("high")).filter("size > 1 AND (high = 2 OR low < high)").select("key", "size")
         met = scratch.table(self.name("met"), keys.join(sizes, "key"))
         ranked = met.join(met.groupBy("node").agg(F.sum("size").alias("central")), "node")
-        leads = ranked.groupBy("key").agg(F.max(F.struct("central", "node", "n", "m")).alias("lead"))
-        leads = leads.select("key", F.col("lead.node").alias("lead"), F.col("lead.n").alias("lead_n"), F.col("lead.m").alias("lead_m"))
+        leads = ranked.groupBy("key").agg(F.max(F.struct("central", "node", "n", "m", "side")).alias("lead"))
+        leads = leads.select("key", F.col("lead.node").alias("lead"), F.col("lead.n").alias("lead_n"), F.col("lead.m").alias("lead_m"), F.col("lead.side").alias("lead_side"))
         shared = scratch.table(self.name("shared"), met.join(leads, "key"))
         sets = scratch.table(self.name("sets"), sets_of(shared.select("node").distinct()))
         led = shared.filter(F.col("node") != F.col("lead")).filter(self.fit("", "lead_"))
@@ -169,12 +170,13 @@ class Links:
         self.confirm(first, sets)
         open_ = scratch.table(self.name("open"), self.open_keys(shared))
         few, many = open_.filter(F.col("size") <= hot), open_.filter(F.col("size") > hot)
-        other = few.select("key", F.col("node").alias("other"), F.col("n").alias("other_n"), F.col("m").alias("other_m"), F.col("c").alias("other_c"))
+        other = few.select("key", F.col("node").alias("other"), F.col("n").alias("other_n"), F.col("m").alias("other_m"), F.col("side").alias("other_side"), F.col("c").alias("other_c"))
         pairs = few.join(other, "key").filter("other < node AND other_c <> c").filter(self.fit("", "other_")).select(F.col("other").alias("a"), F.col("node").alias("b"))
         led = self.grouped(many.filter(F.col("node") != F.col("lead")).filter(self.fit("", "lead_")), ("lead", "lead_c"))
         pairs = pairs.union(led.filter("lead_c <> c").select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b"))).distinct()
         self.confirm(pairs.join(first, ["a", "b"], "left_anti"), sets)
         large = scratch.table(self.name("large"), self.open_keys(many.drop("c")))
+        scratch.drop(*[f"{kind}{k}" for k in range(started, self.turn) for kind in ("met", "shared", "open", "pairs")])
         if not large.isEmpty():
             if exact:
                 self.rounds(large, sets)
@@ -183,7 +185,7 @@ class Links:
                 self.link(self.prefixes(nodes, sets), lambda some: sets.join(some, "node", "left_semi"), exact=True)
 
     def prefixes(self, nodes: DataFrame, sets: DataFrame) -> DataFrame:
-        """(key, node, n, m): for each size class of partners, a set's rarest shareable shingles, enough that similar sets share one."""
+        """(key, node, n, m, side): for each size class of partners, a set's rarest shareable shingles, enough that similar sets share one."""
         s, size_class = self.percent, lambda n: F.floor(F.ln(n.cast("double")) / float(np.log(STEP)) + 1e-9)
         cells = sets.join(nodes, "node").select("node", "n", F.explode("set").alias("shingle"))
         counts = cells.groupBy("shingle").agg(F.count("*").alias("count")).filter("count > 1")
@@ -195,8 +197,9 @@ class Links:
         needed = F.ceil((F.col("n") + least) * s / (100 + s) - 1e-9)
         # the n - m shingles that nobody shares come first in the order
         prefix = F.slice("order", 1, F.greatest(F.col("n") - needed + 1 - (F.col("n") - F.col("m")), F.lit(0)).cast("int"))
+        side = F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") > F.col("other")).cast("int"))
         key = F.xxhash64(F.least("own", "other"), F.greatest("own", "other"), "p.shingle")
-        return self.scratch.table(self.name("prefixes"), ranked.select("node", "n", "m", "own", "other", F.explode(prefix).alias("p")).select(key.alias("key"), "node", "n", "m"))
+        return self.scratch.table(self.name("prefixes"), ranked.select("node", "n", "m", "own", "other", F.explode(prefix).alias("p")).select(key.alias("key"), "node", "n", "m", side.alias("side")))
 
     def rounds(self, large: DataFrame, sets: DataFrame) -> None:
         """Step 4."""
@@ -207,7 +210,7 @@ class Links:
                 return
             place = F.pmod(F.xxhash64("node"), F.col("size"))
             lead = now.filter((place >= done) & (place < upto))
-            lead = lead.select("key", F.col("node").alias("x"), F.col("n").alias("x_n"), F.col("m").alias("x_m"), F.col("c").alias("x_c"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+            lead = lead.select("key", F.col("node").alias("x"), F.col("n").alias("x_n"), F.col("m").alias("x_m"), F.col("side").alias("x_side"), F.col("c").alias("x_c"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
             met = now.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(lead, ["key", "salt"]).filter("c <> x_c").filter(self.fit("", "x_"))
             self.confirm(met.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct(), sets)
             done, upto = upto, 8 * upto
@@ -232,7 +235,7 @@ def linked(scratch: Scratch, rows: DataFrame, words: int, percent: int = PERCENT
     found = Links(scratch, percent, hot)
     if more is not None:
         node = lambda side: marks.select(F.col("row").alias(side), F.col("node").alias(f"{side}_node"), F.col("n").alias(f"{side}_n"))
-        pairs = more.join(node("a"), "a").join(node("b"), "b").withColumns({"a_m": F.col("a_n"), "b_m": F.col("b_n")}).filter("a_node <> b_node AND a_n > 0 AND b_n > 0").filter(found.fit("a_", "b_"))
+        pairs = more.join(node("a"), "a").join(node("b"), "b").withColumns({"a_m": F.col("a_n"), "b_m": F.col("b_n"), "a_side": F.lit(2), "b_side": F.lit(2)}).filter("a_node <> b_node AND a_n > 0 AND b_n > 0").filter(found.fit("a_", "b_"))
         pairs = scratch.table("given", pairs.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct())
         found.confirm(pairs, sets_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()))
     found.link(keyed(nodes), sets_of)
