@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from crosstide import catalog
-from crosstide.functions.groups import pinned
 from crosstide.functions.guards import count_true, finite
 from crosstide.operators import quality as Q
 from crosstide.operators.evaluate import tradable
@@ -157,7 +156,7 @@ _PROFILED = list(catalog.FULL)
     f"SELECT '{c}' AS column_name, " + ", ".join(f"round(quantile_cont({c}, {p}), 6) + 0.0 AS {n}" for p, n in
                                                   zip(Q.QUANTILE_POINTS, Q.QUANTILE_NAMES)) + " FROM full_rows" for c in _PROFILED))
 def a12(spark, d):
-    return shown(Q.column_quantiles(pinned(full_view(bars(spark, d), date_sizes(spark, d))), _PROFILED))
+    return shown(Q.column_quantiles(full_view(bars(spark, d), date_sizes(spark, d), stored=True), _PROFILED))
 
 
 @query("a13_extremes", full_ctes().replace("full_rows AS (", "full_rows AS MATERIALIZED (") + " " + " UNION ALL ".join(
