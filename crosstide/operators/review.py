@@ -2,9 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from crosstide.functions.groups import pinned
 from crosstide.functions.guards import all_present, count_true, ratio
 from crosstide.operators.history import history_features, trailing
-from crosstide.schema import DATE, KEYS
+from crosstide.schema import DATE, KEYS, SOURCES
 
 REVIEW_ROWS = 6
 
@@ -23,7 +24,10 @@ def review_rows(panel, chosen):
 
 
 def prefix_differences(panel, before, names):
-    """Per feature: compared cells and cells where a panel cut at a date disagrees with the full one."""
+    """Per feature: compared cells and cells where a panel cut at a date disagrees with the full one.
+
+    Both read one stored panel: sums of a derived panel may end in another last digit each time they are made."""
+    panel = pinned(panel.select(*KEYS, *SOURCES))
     full = history_features(panel, names).filter(F.col(DATE) < before)
     cut = history_features(panel.filter(F.col(DATE) < before), names)
     cut = cut.select(*KEYS, *[F.col(n).alias(f"_{n}") for n in names])
