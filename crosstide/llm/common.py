@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 LAST_ID = np.iinfo(np.int64).max
 """Stands for a missing id: larger than any id, so such a row is never the earlier one."""
+ROWS_A_TASK, EDGES_A_TASK, LEAST_TASKS = 4096, 65536, 8
+"""Where a table's rows are counted, steps over it take a task for so many documents or edges, instead of the session's shuffle width if that is more."""
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -45,8 +47,9 @@ class Scratch:
         system.mkdirs(path)
         system.deleteOnExit(path)
 
-    def table(self, name: str, df: DataFrame) -> DataFrame:
-        df.write.option("compression", "zstd").parquet(f"{self.root}/{name}")
+    def table(self, name: str, df: DataFrame, parts: int | None = None) -> DataFrame:
+        """parts: tasks and files at most, where the rows are known to be few for the session's shuffle width."""
+        (df.coalesce(parts) if parts else df).write.option("compression", "zstd").parquet(f"{self.root}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
     def clear(self) -> None:
@@ -150,23 +153,26 @@ def chunked(docs: DataFrame, size: int, keep: bool = False) -> DataFrame:
     return docs.select(*columns).mapInArrow(chunks, CHUNKS)
 
 
-def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
+def components(scratch: Scratch, edges: DataFrame, parts: int | None = None) -> DataFrame:
     """(node, component): the smallest node reachable over undirected edges (a, b), by alternating large and small stars.
 
     Each round regroups stored edges by node; minima are aggregated before the exchange. The join that hands a hub's minimum to its edges
-    relies on adaptive skew splitting. Ends when a round leaves the edges as they were. Nodes without an edge are not listed."""
-    now = scratch.table("edges0", edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    relies on adaptive skew splitting. Ends when a round leaves the edges as they were. Nodes without an edge are not listed.
+    parts: tasks at most for the first table; with it, rounds take a task for each EDGES_A_TASK edges at most."""
+    now = scratch.table("edges0", edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), parts)
     key, turn = _state(now), 0
     while key[0]:
         turn += 1
+        tasks = max(LEAST_TASKS, -(-key[0] // EDGES_A_TASK)) if parts else None
+        fold = lambda df: df.coalesce(tasks) if tasks else df  # noqa: B023, E731
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        large = scratch.table(f"large{turn}", large)
+        large = fold(both.join(low, "a")).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        large = scratch.table(f"large{turn}", large, tasks)
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a")
+        small = fold(large.join(low, "a"))
         small = small.select("b", "m").union(small.select("a", "m")).toDF("a", "b").filter("a <> b").distinct()
-        small = scratch.table(f"edges{turn}", small)
+        small = scratch.table(f"edges{turn}", small, tasks)
         scratch.drop(f"large{turn}", f"edges{turn - 1}")
         before, key, now = key, _state(small), small
         if key == before:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crosstide.llm.common import LAST_ID, Scratch, components, text_bytes
+from crosstide.llm.common import LAST_ID, LEAST_TASKS, ROWS_A_TASK, Scratch, components, text_bytes
 
 PERCENT, HALVES, WIDTH, HOT, SALTS, SEED, STEP = 80, 8, 2, 32, 16, 42, 1.05
 
@@ -103,14 +103,18 @@ def keyed(nodes: DataFrame) -> DataFrame:
 class Links:
     """The links found so far between the nodes of one table, and their components."""
 
-    def __init__(self, scratch: Scratch, percent: int = PERCENT, hot: int = HOT):
-        self.scratch, self.percent, self.hot, self.turn = scratch, percent, hot, 0
+    def __init__(self, scratch: Scratch, percent: int = PERCENT, hot: int = HOT, parts: int | None = None):
+        """parts: tasks at most for a step's stored result."""
+        self.scratch, self.percent, self.hot, self.turn, self.parts = scratch, percent, hot, 0, parts
         self.group = scratch.spark.createDataFrame([], "node long, component long")
 
     def name(self, of: str) -> str:
         self.turn += 1
         return f"{of}{self.turn}"
 
+    def stored(self, of: str, df: DataFrame) -> DataFrame:
+        return self.scratch.table(self.name(of), df, self.parts)
+
     def fit(self, x: str = "", y: str = ""):
         """Whether two nodes may be similar by their sizes n and shareable shingles m, and a key is meant for both (columns with the prefixes
         x and y): sides are 0 and 1 where a key joins two size classes, and 2 where all nodes may meet."""
@@ -139,13 +143,13 @@ class Links:
                 yield batch.select(["a", "b"]).filter(pa.array(keep))
 
         both = pairs.select("a", "b").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b").join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a")
-        found = self.scratch.table(self.name("links"), both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
+        found = self.stored("links", both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
         if found.isEmpty():
             return
         # Known components stand for the links found before.
         old = self.group.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
         inner = Scratch(self.scratch.spark)
-        self.group = self.scratch.table(self.name("group"), components(inner, old.union(found)))
+        self.group = self.stored("group", components(inner, old.union(found), self.parts))
         inner.clear()
 
     def open_keys(self, shared: DataFrame) -> DataFrame:
@@ -158,30 +162,30 @@ class Links:
         """Steps 1 and 2 over keys (key, node, n, m, side), then 3 (or 4 if these are exact keys already). sets_of(nodes) gives (node, set)."""
         scratch, hot, started = self.scratch, self.hot, self.turn
         sizes = keys.groupBy("key").agg(F.count("*").alias("size"), F.min("side").alias("low"), F.max("side").alias("high")).filter("size > 1 AND (high = 2 OR low < high)").select("key", "size")
-        met = scratch.table(self.name("met"), keys.join(sizes, "key"))
+        met = self.stored("met", keys.join(sizes, "key"))
         ranked = met.join(met.groupBy("node").agg(F.sum("size").alias("central")), "node")
         leads = ranked.groupBy("key").agg(F.max(F.struct("central", "node", "n", "m", "side")).alias("lead"))
         leads = leads.select("key", F.col("lead.node").alias("lead"), F.col("lead.n").alias("lead_n"), F.col("lead.m").alias("lead_m"), F.col("lead.side").alias("lead_side"))
-        shared = scratch.table(self.name("shared"), met.join(leads, "key"))
-        sets = scratch.table(self.name("sets"), sets_of(shared.select("node").distinct()))
+        shared = self.stored("shared", met.join(leads, "key"))
+        sets = self.stored("sets", sets_of(shared.select("node").distinct()))
         led = shared.filter(F.col("node") != F.col("lead")).filter(self.fit("", "lead_"))
         first = led.groupBy("node", "lead").count().groupBy("node").agg(F.max(F.struct("count", "lead")).alias("best"))
-        first = scratch.table(self.name("pairs"), first.select(F.least("best.lead", "node").alias("a"), F.greatest("best.lead", "node").alias("b")).distinct())
+        first = self.stored("pairs", first.select(F.least("best.lead", "node").alias("a"), F.greatest("best.lead", "node").alias("b")).distinct())
         self.confirm(first, sets)
-        open_ = scratch.table(self.name("open"), self.open_keys(shared))
+        open_ = self.stored("open", self.open_keys(shared))
         few, many = open_.filter(F.col("size") <= hot), open_.filter(F.col("size") > hot)
         other = few.select("key", F.col("node").alias("other"), F.col("n").alias("other_n"), F.col("m").alias("other_m"), F.col("side").alias("other_side"), F.col("c").alias("other_c"))
         pairs = few.join(other, "key").filter("other < node AND other_c <> c").filter(self.fit("", "other_")).select(F.col("other").alias("a"), F.col("node").alias("b"))
         led = self.grouped(many.filter(F.col("node") != F.col("lead")).filter(self.fit("", "lead_")), ("lead", "lead_c"))
         pairs = pairs.union(led.filter("lead_c <> c").select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b"))).distinct()
         self.confirm(pairs.join(first, ["a", "b"], "left_anti"), sets)
-        large = scratch.table(self.name("large"), self.open_keys(many.drop("c")))
+        large = self.stored("large", self.open_keys(many.drop("c")))
         scratch.drop(*[f"{kind}{k}" for k in range(started, self.turn) for kind in ("met", "shared", "open", "pairs")])
         if not large.isEmpty():
             if exact:
                 self.rounds(large, sets)
             else:
-                nodes = scratch.table(self.name("asked"), large.select("node", "n").distinct())
+                nodes = self.stored("asked", large.select("node", "n").distinct())
                 self.link(self.prefixes(nodes, sets), lambda some: sets.join(some, "node", "left_semi"), exact=True)
 
     def prefixes(self, nodes: DataFrame, sets: DataFrame) -> DataFrame:
@@ -199,13 +203,13 @@ class Links:
         prefix = F.slice("order", 1, F.greatest(F.col("n") - needed + 1 - (F.col("n") - F.col("m")), F.lit(0)).cast("int"))
         side = F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") > F.col("other")).cast("int"))
         key = F.xxhash64(F.least("own", "other"), F.greatest("own", "other"), "p.shingle")
-        return self.scratch.table(self.name("prefixes"), ranked.select("node", "n", "m", "own", "other", F.explode(prefix).alias("p")).select(key.alias("key"), "node", "n", "m", side.alias("side")))
+        return self.stored("prefixes", ranked.select("node", "n", "m", "own", "other", F.explode(prefix).alias("p")).select(key.alias("key"), "node", "n", "m", side.alias("side")))
 
     def rounds(self, large: DataFrame, sets: DataFrame) -> None:
         """Step 4."""
         done, upto, largest, shared = 0, 1, large.agg(F.max("size")).first()[0], large.drop("c")
         while done < largest:
-            now = self.scratch.table(self.name("round"), self.open_keys(shared))
+            now = self.stored("round", self.open_keys(shared))
             if now.isEmpty():
                 return
             place = F.pmod(F.xxhash64("node"), F.col("size"))
@@ -219,9 +223,10 @@ class Links:
 def linked(scratch: Scratch, rows: DataFrame, words: int, percent: int = PERCENT, hot: int = HOT, more: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(marks, nodes) of stored rows with a unique column __row: marks (row, id, node, n) of every row; nodes (node, id, row, component) with
     the first row of each node. more: further candidate pairs of rows (a, b), confirmed like all others."""
+    parts = max(LEAST_TASKS, -(-rows.count() // ROWS_A_TASK))
     marks = scratch.table("marks", sketched(rows, words))
     heads = marks.groupBy("node").agg(F.min(F.struct("id", "row", "n", "halves")).alias("head"))
-    nodes = scratch.table("nodes", heads.select("node", "head.*"))
+    nodes = scratch.table("nodes", heads.select("node", "head.*"), parts)
 
     def sets_of(some: DataFrame) -> DataFrame:
         def run(batches):
@@ -232,11 +237,11 @@ def linked(scratch: Scratch, rows: DataFrame, words: int, percent: int = PERCENT
         wanted = nodes.join(some, "node", "left_semi").select("row", "node")
         return _texts(rows).join(wanted, "row").select("node", "text").mapInArrow(run, "node long, set array<long>")
 
-    found = Links(scratch, percent, hot)
+    found = Links(scratch, percent, hot, parts)
     if more is not None:
         node = lambda side: marks.select(F.col("row").alias(side), F.col("node").alias(f"{side}_node"), F.col("n").alias(f"{side}_n"))
         pairs = more.join(node("a"), "a").join(node("b"), "b").withColumns({"a_m": F.col("a_n"), "b_m": F.col("b_n"), "a_side": F.lit(2), "b_side": F.lit(2)}).filter("a_node <> b_node AND a_n > 0 AND b_n > 0").filter(found.fit("a_", "b_"))
-        pairs = scratch.table("given", pairs.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct())
+        pairs = scratch.table("given", pairs.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct(), parts)
         found.confirm(pairs, sets_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()))
     found.link(keyed(nodes), sets_of)
     return marks.drop("halves"), found.grouped(nodes.select("node", "id", "row", "n"), ("node", "component"))

@@ -88,3 +88,28 @@ def test_similar_sets_share_a_tensored_key():
         assert len(set(keys[0].tolist())) == 64
         met += bool(set(keys[0].tolist()) & set(keys[1].tolist()))
     assert met >= 298
+
+
+def test_steps_over_few_rows_take_few_tasks(spark, monkeypatch):
+    """Stored results have as many files as their rows need, not as many as the session's shuffle width."""
+    from crosstide.llm.common import LEAST_TASKS, Scratch
+
+    files, real = {}, Scratch.table
+
+    def table(self, name, df, *parts):
+        out = real(self, name, df, *parts)
+        files[name] = max(files.get(name, 0), len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(Scratch, "table", table)
+    held = {k: spark.conf.get(k, None) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        rows = [(i, " ".join(f"w{x}" for x in [*range(200 + i % 3), i // 30])) for i in range(120)]
+        found = tensor_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    assert {r.component_id for r in found} == {0}
+    assert max(n for name, n in files.items() if name not in ("rows", "marks")) <= LEAST_TASKS
