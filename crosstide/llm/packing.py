@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from crosstide.llm import tokens
 from crosstide.llm.common import Scratch, text_bytes
 
-WINDOW, SHARD_DOCS, SHARD_BYTES, PIVOTS, GATHER = 1024, 2048, 8 << 20, 1024, 256
+WINDOW, SHARD_DOCS, SHARD_BYTES, PIVOTS, GATHER, COMMON, BLOCK = 1024, 2048, 8 << 20, 1024, 256, 16, 256
 K1, B = 1.2, 0.75
 
 
@@ -41,7 +41,10 @@ class Whole(NamedTuple):
 
 
 class Index:
-    """Inverted index of one shard. docs: an array of token ids for each document; whole: counts to weigh with (missing: the shard's own)."""
+    """Inverted index of one shard. docs: an array of token ids for each document; whole: counts to weigh with (missing: the shard's own).
+
+    Terms in more than one of COMMON documents hold most postings: they are dense lines, multiplied for BLOCK seeds at once and kept (a number
+    for each two documents of the shard at most). The other terms' postings are added by seed."""
 
     def __init__(self, docs: list[np.ndarray], query_terms: int | None = None, whole: Whole | None = None):
         n, lengths = len(docs), np.array([len(d) for d in docs], np.int64)
@@ -61,6 +64,12 @@ class Index:
         of = self.doc[order]
         start = np.searchsorted(of, np.arange(n + 1))
         self.terms = [row[order[a:min(b, a + query_terms) if query_terms else b]] for a, b in zip(start[:-1], start[1:], strict=True)]
+        common = np.flatnonzero((df > 1) & (df * COMMON > n))
+        self.line = np.full(len(df), -1)
+        self.line[common] = np.arange(len(common))
+        self.lines, dense = np.zeros((len(common), n)), self.line[row] >= 0
+        self.lines[self.line[row[dense]], self.doc[dense]] = self.weight[dense]
+        self.blocks = {}
 
     def of(self, terms: np.ndarray) -> np.ndarray:
         """BM25 scores of all documents for distinct terms, by number."""
@@ -69,7 +78,14 @@ class Index:
 
     def scores(self, seed: int) -> np.ndarray:
         """BM25 scores of all documents for the terms of the seed."""
-        return self.of(self.terms[seed])
+        block, terms = seed // BLOCK, self.terms[seed]
+        if block not in self.blocks:
+            asked = self.terms[block * BLOCK:(block + 1) * BLOCK]
+            line = self.line[np.concatenate(asked)]
+            has, owner = np.zeros((len(asked), len(self.lines))), np.repeat(np.arange(len(asked)), list(map(len, asked)))
+            has[owner[line >= 0], line[line >= 0]] = 1
+            self.blocks[block] = has @ self.lines
+        return self.blocks[block][seed % BLOCK] + self.of(terms[self.line[terms] < 0])
 
 
 class Pivots:
@@ -105,6 +121,38 @@ def asked(ids: np.ndarray, line: np.ndarray, table: np.ndarray) -> np.ndarray:
     return score
 
 
+class Asked:
+    """`asked` for many texts: lines that more than one of COMMON pivots has are multiplied for BLOCK texts at once, the others added by text."""
+
+    def __init__(self, line: np.ndarray, table: np.ndarray):
+        self.line, self.table, n = line, table, table.shape[1]
+        common = np.flatnonzero((table > 0).sum(axis=1) * COMMON > n)
+        self.place, self.common = np.full(len(table), -1), table[common]
+        self.place[common] = np.arange(len(common))
+
+    def scores(self, texts: list[np.ndarray]) -> np.ndarray:
+        """A line of scores for each text."""
+        lines = [self.line[np.minimum(np.unique(ids), len(self.line) - 1)] for ids in texts]
+        has, rest = np.zeros((len(texts), len(self.common)), np.float32), []
+        for k, mine in enumerate(lines):
+            at = self.place[mine]
+            has[k, at[at >= 0]] = 1
+            rest.append(mine[(at < 0) & (mine > 0)])
+        score = has @ self.common
+        for k, mine in enumerate(rest):
+            for a in range(0, len(mine), GATHER):
+                score[k] += self.table[mine[a:a + GATHER]].sum(axis=0)
+        return score
+
+
+def best_first(score: np.ndarray, few: int = 64):
+    """The places of all scores but zero, the best first and equal ones by place; beyond the first few they are sorted only if asked for."""
+    least = np.partition(score, -few)[-few] if len(score) > few else 0
+    for found in (np.flatnonzero((score >= least) & (score > 0)), None):
+        found = np.flatnonzero((score < least) & (score > 0)) if found is None else found
+        yield from found[np.argsort(-score[found], kind="stable")]
+
+
 def order_of(docs: list[np.ndarray], window: int = WINDOW, query_terms: int | None = None, whole: Whole | None = None) -> list[int]:
     """The order in which the documents are laid into windows."""
     index, used, order, filled, following = Index(docs, query_terms, whole), np.zeros(len(docs), bool), [], 0, 0
@@ -123,9 +171,7 @@ def order_of(docs: list[np.ndarray], window: int = WINDOW, query_terms: int | No
             continue
         score = index.scores(seed)
         score[used] = 0
-        found = np.flatnonzero(score)
-        found = found[np.lexsort((found, -score[found]))]
-        for near in found:
+        for near in best_first(score):
             used[near] = True
             order.append(int(near))
             filled += len(docs[near])
@@ -178,7 +224,9 @@ def encoded(docs: DataFrame) -> DataFrame:
             offsets, data = text_bytes(batch)
             for a in range(0, len(batch), 256):
                 part = offsets[a:a + 257]
-                raw = [np.concatenate((encode.encode_to_numpy(str(data[x:y], "utf-8", "replace"), allowed_special="all"), end)).astype("<u4").tobytes() for x, y in zip(part[:-1], part[1:], strict=True)]
+                texts = [str(data[x:y], "utf-8", "replace") for x, y in zip(part[:-1], part[1:], strict=True)]
+                # the search for special strings takes a fifth of the time, so it runs only where one stands
+                raw = [np.concatenate((encode.encode_to_numpy(x, allowed_special={tokens.SPECIAL} if tokens.SPECIAL in x else set(), disallowed_special=()), end)).astype("<u4").tobytes() for x in texts]
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id")[a:a + len(raw)], "row": np.arange(number, number + len(raw)), "ids": pa.array(raw, pa.binary())})
                 number += len(raw)
 
@@ -233,13 +281,14 @@ def by_content(scratch: Scratch, rows: DataFrame, whole: Whole, pivots: int = PI
     def run(batches):
         weights = None
         for batch in batches:
-            weights = weights or index.dense()
-            best = np.zeros((len(batch), 2), np.int32)
-            for k, ids in enumerate(rows_of(batch)):
-                score = asked(ids, *weights)
-                best[k, 0] = score.argmax()
-                score[best[k, 0]] = -1
-                best[k, 1] = score.argmax()
+            weights = weights or Asked(*index.dense())
+            best, texts = np.zeros((len(batch), 2), np.int32), rows_of(batch)
+            for a in range(0, len(texts), BLOCK):
+                score = weights.scores(texts[a:a + BLOCK]).round(3)  # the order of a sum's terms does not decide between equal pivots
+                each = np.arange(len(score))
+                best[a:a + BLOCK, 0] = first = score.argmax(axis=1)
+                score[each, first] = -1
+                best[a:a + BLOCK, 1] = score.argmax(axis=1)
             near = place[best]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near[:, 0]), pa.array(near[:, 1])], [*batch.schema.names, "near", "next"])
 

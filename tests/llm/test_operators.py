@@ -94,6 +94,36 @@ def test_index_scores_are_bm25():
         np.testing.assert_allclose(index.scores(q), [sum(weight(t, d) for t in set(seed.tolist()) if df[t] > 1) for d in shard])
 
 
+def test_common_terms_are_not_asked_by_seed(monkeypatch):
+    """Terms of many documents cost a seed no postings; scores stay the sums over all terms, also over several blocks of seeds."""
+    rng = np.random.default_rng(5)
+    shard = [np.append(rng.integers(40, 4000, 30), np.arange(20)).astype(np.uint32) for _ in range(packing.BLOCK + 50)]
+    index, whole = packing.Index(shard), [None] * len(shard)
+    for seed in (0, 7, packing.BLOCK - 1, packing.BLOCK, len(shard) - 1):
+        whole[seed] = index.of(index.terms[seed])
+    asked = []
+    monkeypatch.setattr(packing.Index, "of", lambda self, terms, of=packing.Index.of: (asked.extend(np.diff(self.first)[terms].tolist()), of(self, terms))[1])
+    for seed in (0, 7, packing.BLOCK - 1, packing.BLOCK, len(shard) - 1):
+        np.testing.assert_allclose(index.scores(seed), whole[seed], rtol=1e-12)
+    assert max(asked) * packing.COMMON <= len(shard)
+
+
+def test_pivots_are_asked_for_many_texts_at_once():
+    rng = np.random.default_rng(6)
+    docs = [np.append(rng.integers(30, 3000, 40), np.arange(15)).astype(np.uint32) for _ in range(70)]
+    whole = packing.Whole(1000, 50.0, rng.integers(1, 900, 3001))
+    line, table = packing.Pivots([np.unique(d, return_counts=True) for d in docs], whole).dense()
+    texts = [*docs[:5], np.array([1, 2, 5000], np.uint32), np.array([9999], np.uint32), np.zeros(0, np.uint32)]
+    many = packing.Asked(line, table)
+    assert len(many.common) >= 15
+    np.testing.assert_allclose(many.scores(texts), [packing.asked(d, line, table) for d in texts], rtol=1e-4)
+
+
+def test_best_first_is_a_whole_sort():
+    score = np.random.default_rng(1).integers(0, 9, 300).astype(float)
+    assert [int(x) for x in packing.best_first(score)] == [int(x) for x in np.lexsort((np.arange(300), -score)) if score[x]]
+
+
 def test_packing_finds_neighbours_of_other_partitions(spark):
     rng = np.random.default_rng(5)
     topics = [[f"t{k}{chr(97 + j)}{chr(97 + k)}" for j in range(20)] for k in range(8)]
