@@ -106,3 +106,20 @@ def test_rounding_noise_does_not_decide_between_equal_scores(spark):
     assert (found.alpha, found.exit_fraction) == (0.8, 0.1)  # the first point is ahead by noise only and turns over more
     found = select_weight(scores.withColumn("weight", scores.alpha)).first()
     assert found.weight == 0.8
+
+
+@pytest.mark.parametrize("policy", [E.OFFICIAL.adjusted(5, 10), E.PROVISIONAL.adjusted(5, 10)])
+def test_daily_metrics_of_arrays_equal_the_windows(spark, policy):
+    rng = np.random.default_rng(5)
+    sizes = {d: n for d, n in zip(dates(6), (60, 3, 41, 12, 60, 30))}
+    rows = [(c, d, None if i % 7 == j > 2 else p, None if i % 5 == j else y, f) for j, (d, n) in enumerate(sizes.items()) for i, (c, _, p, y, f) in enumerate(
+        days(n, 1, lambda i, j: float(np.round(rng.normal(), 1)), lambda i, j: float(rng.normal()), lambda i, j: float(rng.random() < 0.2)))]
+    df = predictions(spark, rows)
+    found = E.daily_metrics(df, policy)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Join" not in plan
+    slow = E.daily_metrics(df, policy, sizes=PLANS[1])
+    assert found.dtypes == slow.dtypes
+    frame = lambda x: x.toPandas().sort_values(DATE).reset_index(drop=True)
+    pd.testing.assert_frame_equal(frame(found), frame(slow))
+    assert (frame(found).turnover_top_rows == 0).any() and frame(found).rank_ic.notna().any()
