@@ -42,7 +42,7 @@ FAMILIES = {
 
 def _register(name, grain, features):
     sql = S.history(features, grain) + f" SELECT ts_code, trade_date, {S.rounded(*features)} FROM features"
-    query(name, sql)(lambda spark, d: shown(history_features(bars(spark, d, grain), features), *KEYS, *features))
+    query(name, sql)(lambda spark, d: shown(history_features(bars(spark, d, grain), features, placed=True), *KEYS, *features))
 
 
 for _name, (_grain, _features) in FAMILIES.items():
