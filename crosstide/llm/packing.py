@@ -30,6 +30,7 @@ from crosstide.llm.common import Scratch, text_bytes
 
 WINDOW, SHARD_DOCS, SHARD_BYTES, PIVOTS, GATHER, COMMON, BLOCK = 1024, 2048, 8 << 20, 1024, 256, 16, 256
 K1, B = 1.2, 0.75
+STORED = np.dtype("<u2")  # the vocabulary has fewer ids than 65,536; they are 32-bit only where they are put out
 
 
 class Whole(NamedTuple):
@@ -220,13 +221,15 @@ def encoded(docs: DataFrame) -> DataFrame:
 
         number = TaskContext.get().partitionId() << 33
         encode, end = tokens.encoder(), np.zeros(1, np.uint32)
+        if encode.max_token_value > np.iinfo(STORED).max:
+            raise ValueError("stored ids are too narrow for this vocabulary")
         for batch in batches:
             offsets, data = text_bytes(batch)
             for a in range(0, len(batch), 256):
                 part = offsets[a:a + 257]
                 texts = [str(data[x:y], "utf-8", "replace") for x, y in zip(part[:-1], part[1:], strict=True)]
                 # the search for special strings takes a fifth of the time, so it runs only where one stands
-                raw = [np.concatenate((encode.encode_to_numpy(x, allowed_special={tokens.SPECIAL} if tokens.SPECIAL in x else set(), disallowed_special=()), end)).astype("<u4").tobytes() for x in texts]
+                raw = [np.concatenate((encode.encode_to_numpy(x, allowed_special={tokens.SPECIAL} if tokens.SPECIAL in x else set(), disallowed_special=()), end)).astype(STORED).tobytes() for x in texts]
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id")[a:a + len(raw)], "row": np.arange(number, number + len(raw)), "ids": pa.array(raw, pa.binary())})
                 number += len(raw)
 
@@ -235,7 +238,7 @@ def encoded(docs: DataFrame) -> DataFrame:
 
 def rows_of(batch: pa.RecordBatch) -> list[np.ndarray]:
     offsets, data = text_bytes(batch, "ids")
-    return [np.frombuffer(data[a:b], "<u4") for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+    return [np.frombuffer(data[a:b], STORED).astype("<u4") for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
 
 
 def counted(rows: DataFrame) -> Whole:
@@ -307,7 +310,7 @@ def shards(batches, shard_docs: int = SHARD_DOCS, shard_bytes: int = SHARD_BYTES
                 yield names, docs
                 names, docs, held = [], [], 0
             names.append(name)
-            docs.append(ids.copy())
+            docs.append(ids)
             held += ids.nbytes
     if docs:
         yield names, docs

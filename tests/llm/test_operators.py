@@ -124,6 +124,25 @@ def test_best_first_is_a_whole_sort():
     assert [int(x) for x in packing.best_first(score)] == [int(x) for x in np.lexsort((np.arange(300), -score)) if score[x]]
 
 
+def test_stored_ids_take_two_bytes(docs):
+    stored = {r.doc_id: r.ids for r in packing.encoded(docs).collect()}
+    for i in {i for i, _ in ROWS_IDS if i != 9}:
+        assert np.frombuffer(stored[i], "<u2").tolist() == [*tokens.ids(dict(texts())[i] or "").tolist(), 0]
+
+
+def test_pattern_splits_like_the_vocabulary(monkeypatch):
+    import public_tokenizers
+
+    rng = np.random.default_rng(3)
+    alphabet = [" ", " ", "\n", "\t", "\r\n", "\u00a0", "\u3000", "a", "Z", "\u00e9", "e\u0301", "\u4e2d", "9", "\u00b2", "'", "'s", "'LL", "'ve", "'re", ".", "_", "<|endoftext|>", "\U0001f600", "\u200d"]
+    odd = ["", " ", "  ", "\n\n", "a ", "a  ", "a  b", "a \n b", *["".join(rng.choice(alphabet, rng.integers(1, 40))) for _ in range(3000)]]
+    assert tokens.encoder()._pat_str != public_tokenizers.PATTERN
+    fast = [tokens.ids(x).tolist() for x in odd]
+    monkeypatch.setattr(tokens, "PATTERN", public_tokenizers.PATTERN)
+    slow = tokens.encoder.__wrapped__()
+    assert fast == [slow.encode(x, allowed_special="all") for x in odd]
+
+
 def test_packing_finds_neighbours_of_other_partitions(spark):
     rng = np.random.default_rng(5)
     topics = [[f"t{k}{chr(97 + j)}{chr(97 + k)}" for j in range(20)] for k in range(8)]
