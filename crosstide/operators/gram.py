@@ -13,9 +13,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from crosstide.functions.blocks import in_role, kept_schema, mapped
 from crosstide.operators.models import RIDGE_ALPHA
 
-PACKED = "_packed"
 BLOCK_ROWS = 4096
 
 
@@ -28,15 +28,6 @@ def median_arrays(medians, features):
     return found
 
 
-def packed(rows, features, keep):
-    return rows.select(*keep, F.array(*[F.col(f).cast("double") for f in features]).alias(PACKED))
-
-
-def _matrix(batch, k):
-    cells = batch.column(PACKED).flatten().to_numpy(zero_copy_only=False)
-    return cells.reshape(-1, k)
-
-
 def shifted(values, median):
     """Imputed values minus the training medians; a feature without any training value is zero."""
     out = values - median
@@ -85,14 +76,14 @@ class Statistics:
 def fold_statistics(rows, features, target, medians):
     """{fold: Statistics} of the training rows with a target."""
     features, k = tuple(features), len(features)
-    train = packed(rows.filter((F.col("role") == "train") & F.col(target).isNotNull()), features, ["fold", F.col(target).cast("double").alias("_y")])
     names = sorted(medians)
 
-    def run(batches):
+    def run(parts):
         sums = {}
-        for batch in batches:
-            folds, y = batch.column("fold").to_numpy(zero_copy_only=False), batch.column("_y").to_numpy(zero_copy_only=False)
-            values = _matrix(batch, k)
+        for batch, values in parts:
+            known = np.flatnonzero(batch.column(target).is_valid().to_numpy(zero_copy_only=False))
+            folds, y = batch.column("fold").to_numpy(zero_copy_only=False)[known], batch.column(target).cast(pa.float64()).to_numpy(zero_copy_only=False)[known]
+            values = values if len(known) == len(values) else values[known]
             for fold in np.unique(folds):
                 mine = np.flatnonzero(folds == fold)
                 total = sums.setdefault(fold, np.zeros((k + 2, k + 2)))
@@ -103,7 +94,7 @@ def fold_statistics(rows, features, target, medians):
         for fold, total in sums.items():
             yield pa.RecordBatch.from_pydict({"fold": pa.array([fold] * (k + 2), pa.string()), "i": pa.array(np.arange(k + 2), pa.int32()), "cells": pa.array(list(total), pa.list_(pa.float64()))})
 
-    cells = train.mapInArrow(run, "fold string, i int, cells array<double>").select("fold", "i", F.posexplode("cells").alias("j", "v"))
+    cells = mapped(in_role(rows, "train"), features, ["fold", target], run, "fold string, i int, cells array<double>").select("fold", "i", F.posexplode("cells").alias("j", "v"))
     grams = {f: np.zeros((k + 2, k + 2)) for f in names}
     for r in cells.groupBy("fold", "i", "j").agg(F.sum("v").alias("v")).collect():  # folds x (features + 2) squared
         grams[r["fold"]][r["i"], r["j"]] = r["v"]
@@ -115,18 +106,20 @@ def predicted(rows, statistics, models, keep):
 
     ``models`` maps a name to {fold: (weights, intercept)}; all models share one pass over the rows.
     """
-    k = len(next(iter(statistics.values())).features)
     names = list(models)
     parts = {}
     for fold, s in statistics.items():
         weights = np.stack([models[m][fold][0] for m in names], axis=1) / s.deviation()[:, None]
         parts[fold] = s.median, weights, np.array([models[m][fold][1] for m in names]) - s.mean() @ weights
     features = next(iter(statistics.values())).features
-    schema = rows.select(*keep).schema.add("model", "string").add("pred", "double")
-
-    def run(batches):
-        for batch in batches:
-            folds, values = batch.column("fold").to_numpy(zero_copy_only=False), _matrix(batch, k)
+    schema = kept_schema(rows, keep).add("model", "string").add("pred", "double")
+
+    def run(blocks):
+        for batch, values in blocks:
+            known = np.isin(batch.column("fold").to_numpy(zero_copy_only=False), list(parts))
+            if not known.all():
+                batch, values = batch.filter(pa.array(known)), values[known]
+            folds = batch.column("fold").to_numpy(zero_copy_only=False)
             found = np.zeros((len(batch), len(names)))
             for fold in np.unique(folds):
                 mine = folds == fold
@@ -136,8 +129,7 @@ def predicted(rows, statistics, models, keep):
                 out = batch.select(list(keep)).append_column("model", pa.array([name] * len(batch), pa.string()))
                 yield out.append_column("pred", pa.array(np.ascontiguousarray(found[:, m])))
 
-    valid = rows.filter((F.col("role") == "valid") & F.col("fold").isin(*parts))
-    return packed(valid, features, list(keep)).mapInArrow(run, schema)
+    return mapped(in_role(rows, "valid"), features, list(keep), run, schema)
 
 
 def save_bundle(path, spark, statistics, models):

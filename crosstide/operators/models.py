@@ -2,6 +2,9 @@
 
 import json
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -9,6 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import functions as F
 
+from crosstide.functions.blocks import kept_schema, mapped
 from crosstide.functions.groups import pinned
 from crosstide.operators.prepare import imputed, kept_features, median_table, standardized, train_moments
 from crosstide.schema import KEYS
@@ -62,6 +66,14 @@ def score_rows(bundle, rows, keep):
 
 def score_with(rows, load, features, keep):
     """Batch scoring with any object that has ``predict(frame)``; ``load`` runs once per task."""
+    if hasattr(rows, "mapped"):
+        def score(parts):
+            model = load()
+            for batch, cells in parts:
+                pred = np.asarray(model.predict(pd.DataFrame(cells, columns=list(features))), float)
+                yield batch.append_column("pred", pa.array(pred, from_pandas=True))
+        return mapped(rows, features, keep, score, kept_schema(rows, keep).add("pred", "double"))
+
     def run(batches):
         model = load()
         for frame in batches:
