@@ -2,11 +2,16 @@
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from crosstide.functions.blocks import mapped
 from crosstide.functions.guards import all_present, count_true, finite, max_of, min_of, ratio
 from crosstide.functions.quantiles import exact_quantiles
+from crosstide.operators.prepare import groups_present
+from crosstide.operators.view_rows import ViewRows
 from crosstide.schema import DATE, ENTITY, KEYS, LABEL, PRICES
 
 LABEL_ATOL, LABEL_RTOL = 1e-10, 1e-8
@@ -195,13 +200,15 @@ def column_quantiles(df, columns, by=()):
     by = list(by)
     found = exact_quantiles(df, columns, QUANTILE_POINTS, by)
     names = F.explode(F.array(*[F.lit(c) for c in columns])).alias("column_name")
-    groups = df.select(*by).distinct().select(*by, names) if by else df.sparkSession.range(1).select(names)
+    groups = groups_present(df, by).select(*by, names) if by else df.sparkSession.range(1).select(names)
     found = groups.join(found, [*by, "column_name"], "left")  # a column without any value keeps its row
     return found.select(*by, "column_name", *[F.col("quantiles")[i].alias(n) for i, n in enumerate(QUANTILE_NAMES)])
 
 
 def extremes(df, columns):
     """Row keys of each column's smallest and largest value; the smaller key wins a tie."""
+    if isinstance(df, ViewRows):
+        return _view_extremes(df, list(columns))
     parts = []
     for c in columns:
         x = F.col(c).cast("double")
@@ -213,6 +220,36 @@ def extremes(df, columns):
     return df.agg(F.array(*parts).alias("_e")).select(F.explode("_e").alias("_e")).select("_e.*")
 
 
+def _first_extreme(values, keys):
+    """(value, key) of the smallest value, for the smallest key that has it."""
+    low = np.nanmin(values)
+    return float(low), min(keys(np.flatnonzero(values == low)))
+
+
+def _view_extremes(view, columns):
+    """The same from arrays: a task sends its own extremes of each column, and the best of them remain."""
+    def run(parts):
+        best = {}
+        for batch, cells in parts:
+            codes, dates = batch.column(ENTITY), batch.column(DATE).to_numpy(zero_copy_only=False)
+            keys = lambda rows: zip(codes.take(pa.array(rows)).to_pylist(), dates[rows].tolist(), strict=True)
+            for c in np.flatnonzero(~np.isnan(cells).all(axis=0)).tolist():
+                for sign in (1.0, -1.0):
+                    x = cells[:, c] * sign
+                    if (c, sign) not in best or np.nanmin(x) <= best[c, sign][0]:
+                        found = _first_extreme(x, keys)
+                        best[c, sign] = min(best.get((c, sign), found), found)
+        if best:
+            yield pa.RecordBatch.from_pydict({"_column": pa.array([c for c, _ in best], pa.int32()), "_sign": pa.array([s for _, s in best]), "v": pa.array([v for v, _ in best.values()]),
+                                              ENTITY: pa.array([k[0] for _, k in best.values()], pa.string()), DATE: pa.array([k[1] for _, k in best.values()], pa.int32())})
+
+    found = mapped(view, columns, KEYS, run, f"_column int, _sign double, v double, {ENTITY} string, {DATE} int")
+    found = found.groupBy("_column", "_sign").agg(F.min(F.struct("v", *KEYS)).alias("_e"))
+    wanted = view.sparkSession.createDataFrame([(c, n, k, s) for c, n in enumerate(columns) for k, s in (("min", 1.0), ("max", -1.0))], "_column int, column_name string, kind string, _sign double")
+    found = F.broadcast(wanted).join(found, ["_column", "_sign"], "left")  # a column without any value keeps its rows
+    return found.select("column_name", "kind", *[F.col(f"_e.{k}").alias(k) for k in KEYS], (F.col("_e.v") * F.col("_sign")).alias("value"))
+
+
 def present_count(columns):
     """Number of present values in a row."""
     return reduce(lambda a, b: a + b, [F.col(c).isNotNull().cast("int") for c in columns])

@@ -6,7 +6,7 @@ from crosstide import catalog
 from crosstide.functions.guards import count_true, finite
 from crosstide.operators import quality as Q
 from crosstide.operators.evaluate import tradable
-from crosstide.operators.features import basic_view, full_view
+from crosstide.operators.features import basic_view, view_rows
 from crosstide.operators.folds import Fold
 from crosstide.operators.history import history_features
 from crosstide.operators.targets import residual_rank
@@ -156,14 +156,14 @@ _PROFILED = list(catalog.FULL)
     f"SELECT '{c}' AS column_name, " + ", ".join(f"round(quantile_cont({c}, {p}), 6) + 0.0 AS {n}" for p, n in
                                                   zip(Q.QUANTILE_POINTS, Q.QUANTILE_NAMES)) + " FROM full_rows" for c in _PROFILED))
 def a12(spark, d):
-    return shown(Q.column_quantiles(full_view(bars(spark, d), date_sizes(spark, d), stored=True), _PROFILED))
+    return shown(Q.column_quantiles(view_rows(bars(spark, d), date_sizes(spark, d)), _PROFILED))
 
 
 @query("a13_extremes", full_ctes().replace("full_rows AS (", "full_rows AS MATERIALIZED (") + " " + " UNION ALL ".join(
     f"(SELECT '{c}' AS column_name, '{k}' AS kind, {ROWS}, round({c}, 6) + 0.0 AS value FROM full_rows WHERE {c} IS NOT NULL "
     f"ORDER BY {c} {o}, ts_code, trade_date LIMIT 1)" for c in _PROFILED for k, o in (("min", "ASC"), ("max", "DESC"))))
 def a13(spark, d):
-    return shown(Q.extremes(full_view(bars(spark, d), date_sizes(spark, d)), _PROFILED))
+    return shown(Q.extremes(view_rows(bars(spark, d), date_sizes(spark, d)), _PROFILED))
 
 
 PRESENT = " + ".join(f"CAST({n} IS NOT NULL AS INTEGER)" for n in catalog.BASIC)
