@@ -23,3 +23,10 @@ def test_narrow_rows_give_the_wide_view_and_its_ranks(spark, folder, monkeypatch
     monkeypatch.setattr(rank_kernel, "CELL_LIMIT", 0)
     pd.testing.assert_frame_equal(found, frame(V.full_rows(panel, keep=[LABEL])), check_dtype=False, rtol=1e-9)
     pd.testing.assert_frame_equal(ranked, frame(V.ranked_view(panel)), check_dtype=False, rtol=1e-9)
+
+
+def test_only_what_dates_need_is_moved(spark, folder):
+    """Ranks come back alone and meet the rows of their entity there; wide rows would need no such step."""
+    panel = bars(spark, folder, labelled=True).filter(f"{DATE} < 19930101").cache()
+    plan = V.full_rows(panel, keep=[LABEL])._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroups" in plan
